@@ -165,7 +165,7 @@ def subscribers(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
     held = first.join(orders, "schedule_train_id").join(
         customer, F.col("o_custkey") == F.col("c_custkey")
     )
-    to = F.element_at("subsequent_stanox_codes", -1)
+    to = F.try_element_at("subsequent_stanox_codes", F.lit(-1))
     none = F.lit(None).cast("string")
     return held.select(
         padded(F.col("o_orderkey")).alias("id"),
@@ -183,7 +183,7 @@ def subscribers(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
         "departure_time",
         to.alias("to_stanox_code"),
         F.concat(F.lit("C"), to).alias("to_crs"),
-        F.element_at("subsequent_arrival_times", -1).alias("arrival_time"),
+        F.try_element_at("subsequent_arrival_times", F.lit(-1)).alias("arrival_time"),
         "days_run_pattern",
         F.lit(None).cast("timestamp").alias("subscribe_timestamp"),
     )
