@@ -14,6 +14,7 @@ from railbeam.constants import (
     MSG_MOVEMENT,
     VARIATION_STATUSES,
 )
+from railbeam.functions.once import with_computed
 from railbeam.functions.text import blank_to_null, strict_long
 from railbeam.schemas import MESSAGE_ELEMENT
 
@@ -105,7 +106,8 @@ def _element_ok(x: Column) -> Column:
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """The parsed array of each message and why it is refused, all or nothing."""
-    parsed = messages.withColumn("elements", F.from_json("value", f"array<struct<{MESSAGE_ELEMENT}>>"))
+    elements = F.from_json("value", f"array<struct<{MESSAGE_ELEMENT}>>")
+    parsed = with_computed(messages, {"elements": elements})
     reason = F.when(F.col("elements").isNull(), "not_an_array").when(
         ~F.forall("elements", _element_ok), "bad_element"
     )
