@@ -26,43 +26,44 @@ def later(values: Column, position: Column) -> Column:
 
 
 def public_stops(creates: DataFrame) -> DataFrame:
-    """One row per stop that has a public time, still with its tiploc."""
+    """One row per stop of a record that has a public time, still with its tiploc.
+
+    Columns: seq, header (a struct of HEADER), pos, tiploc_code, location_type and the two times.
+    """
     stops = creates.filter(run_pattern(F.col("days_run")).isNotNull()).select(
         "seq", F.struct(*HEADER).alias("header"), F.posexplode("locations").alias("pos", "stop")
     )
-    return stops.filter(
-        F.coalesce(F.col("stop.arrival_time"), F.col("stop.departure_time")).isNotNull()
-    )
+    return stops.select(
+        "seq",
+        "header",
+        "pos",
+        "stop.tiploc_code",
+        "stop.location_type",
+        "stop.arrival_time",
+        "stop.departure_time",
+    ).filter(F.coalesce("arrival_time", "departure_time").isNotNull())
 
 
-def flatten_schedules(creates: DataFrame, tiplocs: DataFrame) -> DataFrame:
-    """Schedule rows with the codes and times of all later stops.
+def schedule_rows(stops: DataFrame, tiplocs: DataFrame) -> DataFrame:
+    """Schedule rows with the codes and times of all later stops.
 
     ``tiplocs`` is the tiploc -> stanox map; stops it lacks are dropped before numbering. A record's
-    stops are put back together by an aggregate on ``seq``: they leave one input row, so most of the
-    work is done before the shuffle, and a group is never longer than that one record's array.
+    stops are put together by an aggregate on ``seq``. They were one feed line, so a group is never
+    longer than that line's array and most of the work is done before the shuffle; input that is
+    already partitioned by ``seq`` is not shuffled at all.
     """
-    mapped = public_stops(creates).withColumn("tiploc_code", F.col("stop.tiploc_code")).join(
-        tiplocs, "tiploc_code"
-    )
-    record = mapped.groupBy("seq").agg(
+    record = stops.join(tiplocs, "tiploc_code").groupBy("seq").agg(
         F.first("header").alias("header"),
         F.array_sort(
             F.collect_list(
-                F.struct(
-                    "pos",
-                    "stanox_code",
-                    F.col("stop.location_type").alias("location_type"),
-                    F.col("stop.arrival_time").alias("arrival_time"),
-                    F.col("stop.departure_time").alias("departure_time"),
-                )
+                F.struct("pos", "stanox_code", "location_type", "arrival_time", "departure_time")
             )
         ).alias("stops"),
     )
     listed = record.select(
         "seq",
         "header.*",
-        F.transform("stops", lambda s: s["stanox_code"]).alias("codes"),
+        F.col("stops.stanox_code").alias("codes"),
         F.transform("stops", lambda s: F.coalesce(s["arrival_time"], s["departure_time"])).alias(
             "times"
         ),
@@ -84,6 +85,11 @@ def flatten_schedules(creates: DataFrame, tiplocs: DataFrame) -> DataFrame:
     )
 
 
+def flatten_schedules(creates: DataFrame, tiplocs: DataFrame) -> DataFrame:
+    """Decoded schedule creates as schedule rows."""
+    return schedule_rows(public_stops(creates), tiplocs)
+
+
 def stop_codes(schedule: DataFrame) -> DataFrame:
     """A1: the distinct stop codes of a schedule table."""
     return schedule.select("stanox_code").distinct()

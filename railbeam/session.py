@@ -28,6 +28,7 @@ def local_session(cpus: int = 8, memory: str = "8g", shuffle_partitions: int | N
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("railbeam")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     )

@@ -573,7 +573,8 @@ def range_subscribers(spark: SparkSession, d: str) -> DataFrame:
 
 def subscriber_stops(spark: SparkSession, d: str) -> DataFrame:
     rows, secondary = _with_secondary(spark, d)
-    return watched_stops(shapes.subscribers(spark, d, rows), rows, secondary)
+    watch = watched_stops(shapes.subscribers(spark, d, rows), rows, secondary)
+    return watch.select(F.col("subscriber_id").alias("id"), "stanox_code")
 
 
 def subscriber_lookup(spark: SparkSession, d: str) -> DataFrame:

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railbeam.functions.days import day_flags, run_pattern
 from railbeam.operators.stations import tiploc_map
-from railbeam.operators.stops import flatten_schedules
+from railbeam.operators.stops import schedule_rows
 from railbeam.schemas import COLUMNS, TABLES
 from railbeam.session import apply_settings
 from railbeam.sources.snapshots import RailTables
@@ -69,30 +69,8 @@ def days_run(status: Column) -> Column:
     )
 
 
-def timetable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as schedules, lineitem as their stops.
-
-    Stops are ordered by line number, supplier and part; lines that agree in all three are the same
-    stop. Every eleventh part is a stop without public times.
-    """
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"))
-    )
-    count = F.size("lines")
-
-    def stop(line: Column, index: Column) -> Column:
-        minute = F.lit(360) + (index + 1) * 15
-        timed = line["l_partkey"] % 11 != 0
-        return F.struct(
-            F.when(index == 0, "LO").when(index == count - 1, "LT").otherwise("LI").alias("location_type"),
-            _text(line["l_suppkey"]).alias("tiploc_code"),
-            F.when(timed & (index > 0), _hhmm(minute)).alias("arrival_time"),
-            F.when(timed & ((index == 0) | (index < count - 1)), _hhmm(minute + 1)).alias("departure_time"),
-        )
-
-    orders = table(spark, sf_dir, "orders")
+def _trains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as the heads of schedules."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     start = F.col("o_orderdate").cast("date")
     atoc = (
@@ -102,27 +80,80 @@ def timetable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(customer % 6 == 3, "ZZ")
         .when(customer % 6 == 4, "Q9")
     )
-    return orders.join(lines, orders.o_orderkey == lines.l_orderkey).select(
-        padded(key).alias("seq"),
+    return table(spark, sf_dir, "orders").select(
+        key,
         "o_orderpriority",
         "o_orderstatus",
-        _text(key).alias("schedule_train_id"),
-        F.concat(F.lit("S"), _text(key % 5)).alias("service_code"),
-        F.when(key % 10 == 0, "O").otherwise("P").alias("stp_indicator"),
-        F.lit("OO").alias("train_category"),
-        F.lit("P").alias("train_status"),
-        atoc.alias("atoc_code"),
-        F.when(key % 50 == 7, "0000000").otherwise(days_run(F.col("o_orderstatus"))).alias("days_run"),
-        start.alias("schedule_start"),
-        F.date_add(start, (key % 120).cast("int")).alias("schedule_end"),
-        F.transform("lines", stop).alias("locations"),
+        F.struct(
+            _text(key).alias("schedule_train_id"),
+            F.concat(F.lit("S"), _text(key % 5)).alias("service_code"),
+            F.when(key % 10 == 0, "O").otherwise("P").alias("stp_indicator"),
+            F.lit("OO").alias("train_category"),
+            F.lit("P").alias("train_status"),
+            atoc.alias("atoc_code"),
+            F.when(key % 50 == 7, "0000000").otherwise(days_run(F.col("o_orderstatus"))).alias("days_run"),
+            start.alias("schedule_start"),
+            F.date_add(start, (key % 120).cast("int")).alias("schedule_end"),
+        ).alias("header"),
+    )
+
+
+def timetable_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as the stops of schedules, timed or not.
+
+    Stops are ordered by line number, supplier and part; lines that agree in all three are the same
+    stop. Every eleventh part is a stop without public times. ``seq`` is the order key, by which the
+    rows are partitioned.
+    """
+    train = Window.partitionBy("l_orderkey")
+    place = F.row_number().over(train.orderBy("l_linenumber", "l_suppkey", "l_partkey"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_suppkey",
+        "l_partkey",
+        place.alias("n"),
+        F.count(F.lit(1)).over(train).alias("total"),
+    )
+    n, total, timed = F.col("n"), F.col("total"), F.col("l_partkey") % 11 != 0
+    minute = F.lit(360) + n * 15
+    return lines.join(_trains(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").alias("seq"),
+        "o_orderpriority",
+        "o_orderstatus",
+        "header",
+        n.alias("pos"),
+        _text(F.col("l_suppkey")).alias("tiploc_code"),
+        F.when(n == 1, "LO").when(n == total, "LT").otherwise("LI").alias("location_type"),
+        F.when(timed & (n > 1), _hhmm(minute)).alias("arrival_time"),
+        F.when(timed & ((n == 1) | (n < total)), _hhmm(minute + 1)).alias("departure_time"),
+    )
+
+
+def timetable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as decoded feed records: one row per order, its stops in an array."""
+    stop = ["location_type", "tiploc_code", "arrival_time", "departure_time"]
+    records = timetable_stops(spark, sf_dir).groupBy("seq").agg(
+        *[F.first(c).alias(c) for c in ("o_orderpriority", "o_orderstatus", "header")],
+        F.array_sort(F.collect_list(F.struct("pos", *stop))).alias("stops"),
+    )
+    locations = F.transform("stops", lambda s: F.struct(*[s[c].alias(c) for c in stop]))
+    return records.select(
+        padded(F.col("seq")).alias("seq"),
+        "o_orderpriority",
+        "o_orderstatus",
+        "header.*",
+        locations.alias("locations"),
     )
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The primary schedule table; ids follow the order key and the stop."""
-    flat = flatten_schedules(timetable_records(spark, sf_dir), tiploc_map(stanox(spark, sf_dir)))
-    record_id = F.concat_ws("-", "seq", padded(F.col("stop_sequence"), 5))
+    stops = timetable_stops(spark, sf_dir).filter(
+        run_pattern(F.col("header.days_run")).isNotNull()
+        & F.coalesce("arrival_time", "departure_time").isNotNull()
+    )
+    flat = schedule_rows(stops, tiploc_map(stanox(spark, sf_dir)))
+    record_id = F.concat_ws("-", padded(F.col("seq")), padded(F.col("stop_sequence"), 5))
     return flat.withColumn("id", record_id).select(*COLUMNS["schedule"])
 
 
