@@ -42,6 +42,11 @@ def enrich(
 def logs(exploded: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, salts: int = 1) -> Logs:
     """The three logs of a batch of messages."""
     enriched = enrich(exploded, ttl_ms, salts=salts)
+    return logs_of(enriched)
+
+
+def logs_of(enriched: DataFrame) -> Logs:
+    """T8-T10 for enriched records, however they were enriched."""
     record_id = F.concat_ws("-", "seq", F.lpad(F.col("pos").cast("string"), 5, "0"))
     return Logs(
         movements=movement_log(records_of(enriched, MSG_MOVEMENT), record_id),

@@ -29,47 +29,48 @@ STATE = T.StructType(
 )
 
 
-class ActivationState(StatefulProcessor):
-    """Puts activations, and gives every later record of the train the latest one."""
-
-    def __init__(self, ttl_ms: int, columns: list[str]):
-        self.ttl_ms = ttl_ms
-        self.columns = columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("activation", STATE, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(ORDER, ignore_index=True)
-        is_put = (batch["msg_type"] == MSG_ACTIVATION).to_numpy()
-        # Row number of the last activation at or before each row; -1 is the held one.
-        last = np.maximum.accumulate(np.where(is_put, np.arange(len(batch)), -1))
-        held = self.held.get() if self.held.exists() else None
-        before = pd.DataFrame([held if held is not None else (None,) * 4], columns=STATE.fieldNames())
-        puts = pd.DataFrame(
-            {"activated_ms": batch["arrival_ms"], **{f: batch[f] for f in ACTIVATION_FIELDS}}
-        )
-        known = pd.concat([before.astype(object), puts.astype(object)], ignore_index=True)
-        seen = known.iloc[last + 1].reset_index(drop=True)
-        age = batch["arrival_ms"] - pd.to_numeric(seen["activated_ms"], errors="coerce")
-        found = ~is_put & (age <= self.ttl_ms).to_numpy()
-        if is_put.any():
-            newest = puts.iloc[last[-1]]
-            self.held.update(
-                (
-                    int(newest["activated_ms"]),
-                    newest["schedule_train_id"],
-                    newest["origin_stanox_code"],
-                    int(newest["origin_departure_timestamp"]),
-                )
+def activation_state(ttl_ms: int, columns: list[str]) -> StatefulProcessor:
+    """The processor of one stream. It is a local class so that it travels to the workers by value."""
+
+    class ActivationState(StatefulProcessor):
+        """Puts activations, and gives every later record of the train the latest one."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.held = handle.getValueState("activation", STATE, ttl_ms)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows), ignore_index=True).sort_values(ORDER, ignore_index=True)
+            is_put = (batch["msg_type"] == MSG_ACTIVATION).to_numpy()
+            # Row number of the last activation at or before each row; -1 is the held one.
+            last = np.maximum.accumulate(np.where(is_put, np.arange(len(batch)), -1))
+            held = self.held.get() if self.held.exists() else None
+            before = pd.DataFrame([held if held is not None else (None,) * 4], columns=STATE.fieldNames())
+            puts = pd.DataFrame(
+                {"activated_ms": batch["arrival_ms"], **{f: batch[f] for f in ACTIVATION_FIELDS}}
             )
-        out = batch.assign(**{f: seen[f] for f in ACTIVATION_FIELDS}).loc[found, self.columns]
-        # Text, so that a column of nulls and numbers keeps whole numbers.
-        out["origin_departure_timestamp"] = out["origin_departure_timestamp"].map(lambda v: str(int(v)))
-        yield out
+            known = pd.concat([before.astype(object), puts.astype(object)], ignore_index=True)
+            seen = known.iloc[last + 1].reset_index(drop=True)
+            age = batch["arrival_ms"] - pd.to_numeric(seen["activated_ms"], errors="coerce")
+            found = ~is_put & (age <= ttl_ms).to_numpy()
+            if is_put.any():
+                newest = puts.iloc[last[-1]]
+                self.held.update(
+                    (
+                        int(newest["activated_ms"]),
+                        newest["schedule_train_id"],
+                        newest["origin_stanox_code"],
+                        int(newest["origin_departure_timestamp"]),
+                    )
+                )
+            out = batch.assign(**{f: seen[f] for f in ACTIVATION_FIELDS}).loc[found, columns]
+            # Text, so that a column of nulls and numbers keeps whole numbers.
+            out["origin_departure_timestamp"] = out["origin_departure_timestamp"].map(lambda v: str(int(v)))
+            yield out
+
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return ActivationState()
 
 
 def enrich_stream(records: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, salts: int = 1) -> DataFrame:
@@ -91,7 +92,7 @@ def enrich_stream(records: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, salts: in
     columns = [c for c in keyed.columns if c != "salt"]
     schema = T.StructType([keyed.schema[c] for c in columns])
     enriched = keyed.groupBy("train_id", "salt").transformWithStateInPandas(
-        statefulProcessor=ActivationState(ttl_ms, columns),
+        statefulProcessor=activation_state(ttl_ms, columns),
         outputStructType=schema,
         outputMode="Append",
         timeMode="ProcessingTime",

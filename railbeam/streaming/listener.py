@@ -8,29 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from railbeam.constants import (
-    ACTIVATION_TTL_MS,
-    LATE_THRESHOLD_MS,
-    MSG_CANCELLATION,
-    MSG_CHANGE_OF_ORIGIN,
-    MSG_MOVEMENT,
-)
-from railbeam.operators.logs import cancellation_log, change_of_origin_log, movement_log
+from railbeam.constants import ACTIVATION_TTL_MS, LATE_THRESHOLD_MS
 from railbeam.operators.notices import cancellation_notices, change_of_origin_notices, movement_notices
+from railbeam.plans.enrich import logs_of
 from railbeam.schemas import TABLES
 from railbeam.sources.messages import (
     explode_messages,
     message_rejects,
     parse_messages,
-    records_of,
     route_counts_per_minute,
 )
 from railbeam.sources.snapshots import read_table, write_log_batch
 from railbeam.streaming.activation_state import enrich_stream
 
-RECORD_ID = F.concat_ws("-", "seq", F.lpad(F.col("pos").cast("string"), 5, "0"))
-
-
 def write_batch(
     spark: SparkSession, root: str, enriched: DataFrame, batch: str, threshold_ms: int
 ) -> None:
@@ -40,12 +30,11 @@ def write_batch(
     run again after a failure leaves no double rows. Notices read the log rows just written.
     """
     enriched.persist()
+    made = logs_of(enriched)
     logs = {
-        "movement_log": movement_log(records_of(enriched, MSG_MOVEMENT), RECORD_ID),
-        "cancellation_log": cancellation_log(records_of(enriched, MSG_CANCELLATION), RECORD_ID),
-        "change_of_origin_log": change_of_origin_log(
-            records_of(enriched, MSG_CHANGE_OF_ORIGIN), RECORD_ID
-        ),
+        "movement_log": made.movements,
+        "cancellation_log": made.cancellations,
+        "change_of_origin_log": made.changes_of_origin,
     }
     try:
         for table, rows in logs.items():
@@ -133,6 +122,14 @@ def _start(
     handle: Callable[[DataFrame, int], None],
     trigger: dict | None,
 ) -> StreamingQuery:
-    writer = rows.writeStream.foreachBatch(handle).outputMode("append").queryName(name)
-    writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    """Start without empty batches: state that expires by the clock would ask for one after another,
+    and a run over the available input would never end. A query keeps the setting it starts with."""
+    conf, key = rows.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        writer = rows.writeStream.foreachBatch(handle).outputMode("append").queryName(name)
+        writer = writer.option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    finally:
+        conf.set(key, before)
