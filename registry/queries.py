@@ -635,16 +635,25 @@ def feed_fold_stanox(spark: SparkSession, d: str) -> DataFrame:
 def feed_fold_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Every order is created; some were stored, deleted before or after, or come twice."""
     r = shapes.timetable_records(spark, d)
-    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    create = r.withColumn("op", F.lit("Create"))
-    again = create.filter(priority == "3-MEDIUM").select(
-        "*", F.lit("AGAIN").alias("c"), F.concat(F.lit("z"), "seq").alias("s")
-    )
-    again = again.withColumn("train_category", F.col("c")).withColumn("seq", F.col("s")).drop("c", "s")
-    after = create.filter(priority == "1-URGENT").withColumn("seq", F.concat(F.lit("y"), "seq"))
-    before = create.filter(priority == "2-HIGH").withColumn("seq", F.concat(F.lit("!"), "seq"))
-    deletes = after.unionByName(before).withColumn("op", F.lit("Delete"))
-    changes = create.unionByName(again).unionByName(deletes)
+    priority = F.col("o_orderpriority")
+
+    def change(op: str, mark: str, category: str, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(op).alias("op"), F.lit(mark).alias("mark"), F.lit(category).alias("c")))
+
+    every = F.array_compact(
+        F.array(
+            change("Create", "", "OO", F.lit(True)),
+            change("Create", "z", "AGAIN", priority == "3-MEDIUM"),
+            change("Delete", "y", "OO", priority == "1-URGENT"),
+            change("Delete", "!", "OO", priority == "2-HIGH"),
+        )
+    )
+    changes = (
+        r.select("*", F.inline(every))
+        .withColumn("seq", F.concat("mark", "seq"))
+        .withColumn("train_category", F.col("c"))
+        .drop("mark", "c")
+    )
     stanox = shapes.stanox(spark, d)
     stored = shapes.schedule(spark, d).filter(F.col("days_run_pattern") == "Weekdays")
     stored = stored.withColumn("train_category", F.lit("STORED")).withColumn("id", F.concat(F.lit("#"), "id"))
@@ -673,9 +682,12 @@ def _subscribe_requests(spark: SparkSession, d: str) -> DataFrame:
     named = first.withColumn(
         "record_id", F.concat(F.col("id"), F.when(missing, F.lit("-99999")).otherwise(F.lit("-00001")))
     )
-    one = named.withColumn("seq", F.concat(F.lit("a"), "id"))
-    two = named.withColumn("seq", F.concat(F.lit("b"), "id")).withColumn("email", F.lit("later"))
-    return one.unionByName(two).drop("id")
+    twice = F.array(
+        F.struct(F.lit("a").alias("mark"), F.col("email").alias("sent")),
+        F.struct(F.lit("b").alias("mark"), F.lit("later").alias("sent")),
+    )
+    asked = named.select("*", F.inline(twice)).withColumn("seq", F.concat("mark", "id"))
+    return asked.withColumn("email", F.col("sent")).drop("id", "mark", "sent")
 
 
 def _subscribe(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -66,11 +66,10 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
     assert query.exception() is None
 
     exploded = explode_messages(parse_messages(read_messages(spark, str(landing))))
-    for salts in (1, 4):
-        want = logs(exploded, ttl_ms=DAY, salts=salts)
-        assert _rows(read_table(spark, root, "movement_log")) == _rows(want.movements)
-        assert _rows(read_table(spark, root, "cancellation_log")) == _rows(want.cancellations)
-        assert _rows(read_table(spark, root, "change_of_origin_log")) == _rows(want.changes_of_origin)
+    want = logs(exploded, ttl_ms=DAY, salts=4)
+    assert _rows(read_table(spark, root, "movement_log")) == _rows(want.movements)
+    assert _rows(read_table(spark, root, "cancellation_log")) == _rows(want.cancellations)
+    assert _rows(read_table(spark, root, "change_of_origin_log")) == _rows(want.changes_of_origin)
     assert read_table(spark, root, "movement_log").count() == 2
 
     notices = spark.read.parquet(f"{root}/notifications")
