@@ -34,13 +34,18 @@ class RailTables:
     change_of_origin_log: DataFrame
 
 
+def empty_table(spark: SparkSession, table: str) -> DataFrame:
+    """A table without rows, known to be empty when the plan is made, so that joins with it vanish."""
+    return spark.createDataFrame([], TABLES[table]).filter(F.lit(False))
+
+
 def _read_or_empty(spark: SparkSession, path: str, table: str) -> DataFrame:
     try:
         return spark.read.schema(TABLES[table]).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], TABLES[table])
+        return empty_table(spark, table)
 
 
 def current_version(spark: SparkSession, root: str, table: str) -> int:
@@ -61,7 +66,7 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
         return _read_or_empty(spark, f"{root}/{table}", table).select(*COLUMNS[table])
     version = current_version(spark, root, table)
     if version == 0:
-        return spark.createDataFrame([], TABLES[table])
+        return empty_table(spark, table)
     return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}/v={version}")
 
 

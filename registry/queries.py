@@ -45,8 +45,9 @@ from railbeam.plans.load import fold_association, fold_schedule
 from railbeam.plans.search import schedule_search, schedule_search_requests
 from railbeam.plans.stations import stations
 from railbeam.plans.subscriptions import list_response, resolve_requests, subscribe, unsubscribe
-from railbeam.schemas import COLUMNS, TABLES
+from railbeam.schemas import COLUMNS
 from railbeam.sources import feed, messages
+from railbeam.sources.snapshots import empty_table
 from registry import shapes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,7 +291,7 @@ def _with_secondary(spark: SparkSession, d: str):
     stanox = shapes.stanox(spark, d)
     pending = assoc.pending_associations(
         shapes.associations(spark, d).select(*COLUMNS["association"]),
-        spark.createDataFrame([], TABLES["schedule_secondary"]),
+        empty_table(spark, "schedule_secondary"),
     )
     return rows, assoc.secondary_schedule(pending, rows, stanox).filter(F.col("atoc_code").isNotNull())
 
@@ -566,7 +567,7 @@ def route_subscribers(spark: SparkSession, d: str) -> DataFrame:
 
 def range_subscribers(spark: SparkSession, d: str) -> DataFrame:
     rows = shapes.schedule(spark, d)
-    none = spark.createDataFrame([], TABLES["schedule_secondary"])
+    none = empty_table(spark, "schedule_secondary")
     affected = affected_on_range(_third_stops(rows), shapes.subscribers(spark, d, rows), rows, none)
     return affected.select("log_id", "subscriber_id")
 
@@ -583,7 +584,7 @@ def subscriber_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def notifications(spark: SparkSession, d: str) -> DataFrame:
     rows = shapes.schedule(spark, d)
-    none = spark.createDataFrame([], TABLES["schedule_secondary"])
+    none = empty_table(spark, "schedule_secondary")
     return movement_notices(
         _movements(spark, d), shapes.subscribers(spark, d, rows), rows, none, shapes.stanox(spark, d)
     )

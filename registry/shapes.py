@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from railbeam.functions.days import day_flags, run_pattern
 from railbeam.operators.stations import tiploc_map
 from railbeam.operators.stops import schedule_rows
-from railbeam.schemas import COLUMNS, TABLES
+from railbeam.schemas import COLUMNS
 from railbeam.session import apply_settings
-from railbeam.sources.snapshots import RailTables
+from railbeam.sources.snapshots import RailTables, empty_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -342,6 +342,6 @@ def rail_tables(spark: SparkSession, sf_dir: str, **changed: DataFrame) -> RailT
     rows = changed.get("schedule")
     rows = schedule(spark, sf_dir) if rows is None else rows
     names = [f.name for f in fields(RailTables)]
-    parts = {name: spark.createDataFrame([], TABLES[name]) for name in names}
+    parts = {name: empty_table(spark, name) for name in names}
     parts.update(schedule=rows, stanox=stanox(spark, sf_dir))
     return RailTables(**{**parts, **changed})
