@@ -12,9 +12,6 @@ from railbeam.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cpus=4, memory="4g", shuffle_partitions=2)
-    # Compiling code costs more than it saves on a few rows; the registered queries run compiled.
-    session.conf.set("spark.sql.codegen.wholeStage", "false")
-    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    session = local_session(cpus=8, memory="4g", shuffle_partitions=2)
     yield session
     session.stop()
