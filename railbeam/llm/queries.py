@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbeam.llm import mixing, quality_rules, simhash
+from railbeam.llm import byte_cnn, ctw, decontam, langid, line_blocks, mixing, quality_rules, rans, secret_scan, simhash
+from railbeam.llm.common import fold_of, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +23,58 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_copies=3)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    rans.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return rans.read_digests(spark, path)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    net = byte_cnn.fit(docs, labels, fold_of(F.col("own"), 3) != 1)
+    return byte_cnn.scored(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(_table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold_of(F.col("doc_id"), 4) != 2, "doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    return langid.languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
+    "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
+    "op5_line_blocks": op5_line_blocks,
+    "op6_byte_cnn": op6_byte_cnn,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_context_tree": op8_context_tree,
+    "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
