@@ -2,31 +2,71 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. ``run`` applies them to the documents table.
+
+A stage decides about rows by their doc_id where its operator reports ids. Rows that share a doc_id then share
+the decision; rows with a null doc_id can't be told apart and stay, but for the language stage, which rejects
+rows one by one, and the mixture, which can't repeat what has no id and leaves them as they are. Empty tables
+pass through as empty tables, and columns beyond those of documents are kept but for the last stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbeam.llm import simhash
-from railbeam.llm.common import stored
+from railbeam.llm import decontam, langid, mixing, rans, simhash
+from railbeam.llm.common import new_path, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model rejects go: null texts, texts without a letter, and uncertain ones.
+
+    The model learns from a bounded sample of the documents' own ``lang``.
+    """
+    model = langid.fit(docs, F.lit(True), "doc_id", "text", "lang")
+    return langid.accepted(docs, model)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id (rows that repeat it are kept once)."""
+    """One document of each group stays, the one with the smallest doc_id; of rows that repeat it, the first by text."""
     groups = simhash.near_duplicates(docs, shingle_words=3, max_bits=2)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark passage, exact or edited, go."""
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them: some not at all, none over three times."""
+    return mixing.repeated(docs, mixing.mix(docs, weights=(5, 2, 1), max_copies=3))
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, read back: doc_id, start, n_tokens and ids_crc32 of each document and copy."""
+    path = new_path(spark, "pipeline-token-files")
+    rans.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return rans.read_digests(spark, path)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("token_files", token_files),
+]
 
-#: Hashing of shingles, Newton steps and tokenizing have no SQL form; tests compare with brute force.
+#: A trained model, hashes of shingles, Newton steps and a tokenizer have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -162,3 +162,14 @@ def languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     id_type = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(of, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with all their columns; each row is judged for itself."""
+    place, schema = docs.columns.index(text), docs.schema
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not predict(model, x.as_py())[2] for x in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(of, schema)

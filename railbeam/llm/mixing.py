@@ -169,7 +169,11 @@ def mix(
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Each row of ``docs`` as often as the mix takes it; rows with copies 0 go. Needs distinct, non-null ids."""
-    times = mixed.where("copies > 0").select(F.col("doc_id").alias("_mixed_id"), F.col("copies").cast("int").alias("_copies"))
-    joined = docs.join(times, docs[doc_id] == times["_mixed_id"])
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select(docs.columns)
+    """Each row of ``docs`` as often as the mix takes it; rows with copies 0 go, and rows with a null id stay once.
+
+    Rows that share an id are each taken as often as the mix takes the most of them.
+    """
+    times = mixed.groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("doc_id", "_mixed_id")
+    joined = docs.join(times, docs[doc_id] == times["_mixed_id"], "left").withColumn("_copies", F.when(docs[doc_id].isNull(), 1).otherwise(F.col("_copies")))
+    taken = joined.where("_copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select(docs.columns)
