@@ -29,10 +29,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return posixpath.join(shared_folder(spark), "railbeam", f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` in the shared folder and read it back: a cut of the lineage that survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -26,11 +26,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from railbeam.llm.common import renamed
+from railbeam.llm.common import forget, renamed, stored
 
 SCALE_BITS = 20
 SCALE = 1 << SCALE_BITS
@@ -42,19 +43,30 @@ HEAD = struct.Struct("<4sBBHIQI")
 CHUNK_IDS = 1 << 19
 #: Characters of a shard, which is one task and one file.
 SHARD_CHARS = 16_000_000
-#: Pieces of text whose ids a Python worker remembers.
-MEMORY = 800_000
+#: Pieces of text whose ids a Python worker remembers, in each of its two memories.
+MEMORY = 600_000
 
 
 # --- tokens -------------------------------------------------------------------------------------------------
 
+#: White space other than the blank and the line feed; a text with any of it is searched for odd blanks.
+_RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A blank beside other white space or at an end; elsewhere a blank always begins a piece of the byte-level BPE.
 _ODD = re.compile(r"(?:^|\s) | (?:\s|$)")
+#: Fixed by the byte-level BPE: how it cuts a text into words, and the characters that stand for bytes: visible
+#: ones for themselves, the others in turn for those from U+0100.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _loaded: dict = {}
 
 
 class Encoder:
-    """Ids of whole texts by the ``tokenizers`` library; pieces between single blanks are encoded once and remembered."""
+    """Ids of whole texts by the ``tokenizers`` library; pieces between single blanks are encoded once and remembered.
+
+    ``often`` has the pieces that were met again, ``once`` those met a single time, and each is emptied when it is
+    full, so memory has a bound and rare pieces don't push out common ones.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,24 +76,72 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str())
         cut = kind["pre_tokenizer"] or {}
         self.by_pieces = not kind["normalizer"] and (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
-        self.known: dict[str, bytes] = {}
+        short = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.code, self.kind = ("H", "<u2") if short else ("I", "<u4")
+        self.often: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that begin with a blank: each is cut as the byte-level pre-tokenizer does, and its words
+        go through the library's BPE model, once for each distinct word."""
+        found = []
+        for text in texts:
+            ids = []
+            for word in _WORDS.findall(text):
+                own = self.words.get(word)
+                if own is None:
+                    if len(self.words) > MEMORY:
+                        self.words.clear()
+                    seen = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
+                    own = self.words[word] = array.array(self.code, [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+                ids.append(own)
+            found.append(b"".join(ids))
+        return found
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cuttable(self, text: str) -> bool:
+        if not self.by_pieces or any(s in text for s in self.special):
+            return False
+        if _RARE.search(text):
+            return not _ODD.search(text)
+        return not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ")
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.by_pieces or _ODD.search(text) or any(s in text for s in self.special):
-            return np.frombuffer(self._encode([text])[0], "<u4")
+        if not text:
+            return np.empty(0, self.kind)
+        if not self._cuttable(text):
+            return np.frombuffer(self._encode([text])[0], self.kind)
         first, *rest = text.split(" ")
-        pieces = [first, *[" " + piece for piece in rest]] if first else [" " + piece for piece in rest]
-        new = [piece for piece in set(pieces) if piece not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list(set(pieces))
+        found = list(map(self.often.get, rest))
+        if None in found:
+            self._fill(rest, found)
+        return np.frombuffer(self._encode([first])[0] + b"".join(found), self.kind)
+
+    def _fill(self, pieces: list[str], found: list[bytes | None]) -> None:
+        """Ids of the pieces that are not known as common; each stands behind a blank."""
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        again, new = {}, []
+        for piece in {pieces[i] for i in gaps}:
+            ids = self.once.pop(piece, None)
+            if ids is None:
+                new.append(piece)
+            else:
+                again[piece] = ids
+        if len(self.often) + len(again) > MEMORY:
+            self.often.clear()
+        self.often.update(again)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            self.known.update(zip(part, self._encode(part), strict=True))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+            known = dict(zip(part, self._pieces([" " + piece for piece in part]), strict=True))
+            again |= known
+            if len(self.once) > MEMORY:
+                self.once.clear()
+            self.once.update(known)
+        for i in gaps:
+            found[i] = again[pieces[i]]
 
 
 def encoder(path: str) -> Encoder:
@@ -189,21 +249,65 @@ class Coder:
 # --- writing ------------------------------------------------------------------------------------------------
 
 
-def _counted(docs: DataFrame, tokenizer_path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all documents, with the end ids."""
+_NAMES = ["shard", "chunk", "before", "n_ids", "doc_ids", "lengths"]
+
+
+def _tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """Chunks in order with their ids as plain numbers: every text is read, moved and encoded once."""
+    characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = 1 + characters // SHARD_CHARS
+    own_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[own_type])
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), id_type, pa.list_(pa.int64()), pa.binary()]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
-        counts = np.zeros(max(own.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        chunk, before, held, shard, ids, lengths, parts = 0, 0, 0, 0, [], [], []
+        end = np.array([end_id], own.kind)
+
+        def packed() -> pa.RecordBatch:
+            joined = np.concatenate(parts).astype("<u2" if own.kind == "<u2" and end_id < 1 << 16 else "<u4")
+            row = [shard, chunk, before, held, ids, lengths, joined.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], [*_NAMES, "ids"])
+
         for batch in batches:
-            for value in batch.column(0):
-                found = np.bincount(own.ids(value.as_py() or ""))
-                counts[: len(found)] += found
-                counts[end_id] += 1
+            for doc, value, place in zip(*batch.columns, strict=True):
+                shard = place.as_py()
+                found = own.ids(value.as_py() or "")
+                parts += [found, end]
+                ids.append(doc.as_py())
+                lengths.append(len(found) + 1)
+                held += lengths[-1]
+                if held >= CHUNK_IDS:
+                    yield packed()
+                    chunk, before, held, ids, lengths, parts = chunk + 1, before + held, 0, [], [], []
+        if parts:
+            yield packed()
+
+    key = [F.asc_nulls_last("doc_id"), F.asc("mark")]
+    spread = docs.withColumn("mark", F.xxhash64("text")).repartitionByRange(shards, *key).sortWithinPartitions(*key)
+    schema = f"shard int, chunk int, before long, n_ids long, doc_ids array<{own_type}>, lengths array<long>, ids binary"
+    return spread.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(of, schema)
+
+
+def _plain(ids: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * count else "<u4").astype(np.uint32)
+
+
+def _counted(chunks: DataFrame) -> np.ndarray:
+    """How often each id occurs in all chunks."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids, count in zip(*batch.columns, strict=True):
+                found = np.bincount(_plain(ids.as_py(), count.as_py()), minlength=len(counts))
+                found[: len(counts)] += counts
+                counts = found
         seen = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["id", "n"])
 
-    rows = docs.select("text").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = chunks.select("ids", "n_ids").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((row["id"] for row in rows), default=0), np.int64)  # as long as the vocabulary at most
     for row in rows:
         counts[row["id"]] = row["n"]
@@ -217,46 +321,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     the order of a hash of their texts, repeated rows each for itself. An empty table gives empty files.
     """
     spark = docs.sparkSession
-    slim = renamed(docs, doc_id=doc_id, text=text)
-    frequencies = scaled(_counted(slim, tokenizer_path, end_id))
+    plain = stored(_tokenized(renamed(docs, doc_id=doc_id, text=text), tokenizer_path, end_id), "token-ids", compression="zstd")
+    frequencies = scaled(_counted(plain))
     table = [(i, int(f)) for i, f in enumerate(frequencies.tolist()) if f]
     spark.createDataFrame(table, "id long, frequency long").coalesce(1).write.parquet(posixpath.join(path, "table"))
-    characters = slim.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = 1 + characters // SHARD_CHARS
-    id_type = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[slim.schema["doc_id"].dataType.simpleString()])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, coder = encoder(tokenizer_path), Coder(frequencies)
-        chunk, before, held, shard, ids, lengths, parts = 0, 0, 0, 0, [], [], []
-
-        def packed() -> pa.RecordBatch:
-            joined = np.concatenate(parts)
-            columns = [[shard], [chunk], [before], [len(joined)], [ids], [lengths], [coder.encode(joined)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), id_type, pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-        names = ["shard", "chunk", "before", "n_ids", "doc_ids", "lengths", "payload"]
-        end = np.array([end_id], np.uint32)
+        coder = Coder(frequencies)
         for batch in batches:
-            for doc, value, place in zip(*batch.columns, strict=True):
-                shard = place.as_py()
-                found = own.ids(value.as_py() or "")
-                parts += [found, end]
-                ids.append(doc.as_py())
-                lengths.append(len(found) + 1)
-                held += lengths[-1]
-                if held >= CHUNK_IDS:
-                    yield packed()
-                    chunk, before, held, ids, lengths, parts = chunk + 1, before + held, 0, [], [], []
-        if parts:
-            yield packed()
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                payload = coder.encode(_plain(one.column("ids")[0].as_py(), one.column("n_ids")[0].as_py()))
+                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in _NAMES], pa.array([payload], pa.binary())], [*_NAMES, "payload"])
 
-    key = [F.asc_nulls_last("doc_id"), F.asc("mark")]
-    spread = slim.withColumn("mark", F.xxhash64("text")).repartitionByRange(shards, *key).sortWithinPartitions(*key)
-    own_type = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"shard int, chunk int, before long, n_ids long, doc_ids array<{own_type}>, lengths array<long>, payload binary"
-    placed = spread.select("doc_id", "text", F.spark_partition_id().alias("shard"))
-    placed.mapInArrow(of, schema).write.option("compression", "uncompressed").parquet(posixpath.join(path, "chunks"))
+    schema = plain.select(*_NAMES).schema.add("payload", "binary")
+    plain.mapInArrow(of, schema).write.option("compression", "uncompressed").parquet(posixpath.join(path, "chunks"))
+    forget(plain)
 
 
 # --- reading ------------------------------------------------------------------------------------------------
