@@ -33,7 +33,7 @@ from railbeam.llm.common import forget, packed_words, renamed, stored
 DEPTH, UPPER = 5, 2
 #: The end of a text, as a token and as a byte; texts begin after as many ends as the tree is deep.
 END = b"\n"
-CHUNK_CHARS, STRINGS_PER_PART, BLOCK = 32_000_000, 500_000, 1 << 22
+CHUNK_CHARS, STRINGS_PER_PART, BLOCK = 28_000_000, 500_000, 1 << 21
 LN2 = np.log(2.0)
 
 
@@ -305,11 +305,11 @@ def score(docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str
     learn = F.coalesce(learn_from, F.lit(False))
     dealt = slim.select("doc_id", "text", learn.alias("learn"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
     counted = dealt.select("chunk", "text", "learn").groupBy("chunk").applyInArrow(chunk_counts, "chunk int, string long, word binary, n long")
-    counted = stored(counted, "ctw-counts")
-    strings = stored(counted.where("word is null").groupBy("string").agg(F.sum("n").alias("n")), "ctw-strings")
-    words = stored(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("value")), "ctw-words")
+    counted = stored(counted, "ctw-counts", "zstd")
+    strings = stored(counted.where("word is null").groupBy("string").agg(F.sum("n").alias("n")), "ctw-strings", "zstd")
+    words = stored(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("value")), "ctw-words", "zstd")
     totals = words.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("tokens"), F.count_if(F.col("value") > 0).alias("words")).first()
-    valued = stored(model(strings), "ctw-values")
+    valued = stored(model(strings), "ctw-values", "zstd")
     forget(strings)
     of_strings = counted.where("word is null").join(valued, "string").select("chunk", "string", F.lit(None).cast("binary").alias("word"), "value")
     of_words = counted.where("word is not null").drop("n", "string").join(words, "word")
