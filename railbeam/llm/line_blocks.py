@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from railbeam.llm.common import renamed
 
-#: Lines of a window, the empty lines that a page's menus, headers and the like leave, and the share of the
-#: largest run that another needs. Whatever is left out inside an article leaves one empty line, so it ends no run.
+#: Lines of a window, the empty lines that a page's menus, headers and footers leave, and the share of the
+#: largest run that another needs. Whatever else is left out leaves one empty line, so it ends no run.
 WINDOW, GAP, SHARE = 3, 4, 0.25
 
 _TAG = re.compile(
@@ -38,6 +38,8 @@ BLOCKS = frozenset(
 )
 #: Elements whose content is no article text.
 DROPPED = frozenset("head nav aside footer form noscript template svg canvas button select option object embed audio video map menu dialog".split())
+#: Those of them that stand before and after an article, where a run of text ends.
+EDGES = frozenset(("nav", "header", "footer"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark furniture, notices, adverts and reader comments.
 _FURNITURE = re.compile(
@@ -108,7 +110,7 @@ def lines(html: str) -> list[tuple[str, int]]:
                 continue
         if not closing and _is_furniture(name, m["attributes"], inside > 0):
             end_line()
-            found.extend([("", 0)] * (GAP if name in DROPPED and not inside else 1))
+            found.extend([("", 0)] * (GAP if name in EDGES and not inside else 1))
             if name not in VOID and not m["attributes"].endswith("/"):
                 skip, depth = name, 1
             continue
