@@ -15,6 +15,15 @@ def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 
 
+#: Digits of the largest int and the largest long.
+INT_DIGITS, LONG_DIGITS = 10, 19
+
+
+def sortable(number: Column, digits: int = INT_DIGITS) -> Column:
+    """A number that is not negative as text that sorts like it; ``digits`` is the width of its whole type."""
+    return F.lpad(number.cast("string"), digits, "0")
+
+
 def strict_long(value: Column) -> Column:
     """Digits with an optional sign as a bigint, anything else null."""
     return F.when(value.rlike("^[+-]?[0-9]+$"), value.try_cast("bigint"))

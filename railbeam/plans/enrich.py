@@ -14,6 +14,7 @@ from railbeam.constants import (
     MSG_CHANGE_OF_ORIGIN,
     MSG_MOVEMENT,
 )
+from railbeam.functions.text import sortable
 from railbeam.operators.asof import ACTIVATION_FIELDS, with_activation
 from railbeam.operators.logs import cancellation_log, change_of_origin_log, movement_log
 from railbeam.sources.messages import records_of
@@ -47,7 +48,7 @@ def logs(exploded: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, salts: int = 1) -
 
 def logs_of(enriched: DataFrame) -> Logs:
     """T8-T10 for enriched records, however they were enriched."""
-    record_id = F.concat_ws("-", "seq", F.lpad(F.col("pos").cast("string"), 5, "0"))
+    record_id = F.concat_ws("-", "seq", sortable(F.col("pos")))
     return Logs(
         movements=movement_log(records_of(enriched, MSG_MOVEMENT), record_id),
         cancellations=cancellation_log(records_of(enriched, MSG_CANCELLATION), record_id),

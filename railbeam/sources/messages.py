@@ -15,7 +15,7 @@ from railbeam.constants import (
     VARIATION_STATUSES,
 )
 from railbeam.functions.once import with_computed
-from railbeam.functions.text import blank_to_null, strict_long
+from railbeam.functions.text import LONG_DIGITS, blank_to_null, sortable, strict_long
 from railbeam.schemas import MESSAGE_ELEMENT
 
 KNOWN_TYPES = [MSG_ACTIVATION, MSG_CANCELLATION, MSG_MOVEMENT, MSG_CHANGE_OF_ORIGIN]
@@ -32,7 +32,7 @@ def _split_lines(files: DataFrame) -> DataFrame:
         .filter(F.trim("value") != "")
         .select(
             "arrival_ms",
-            F.concat_ws("-", "file", F.lpad(F.col("line").cast("string"), 10, "0")).alias("seq"),
+            F.concat_ws("-", "file", sortable(F.col("line"))).alias("seq"),
             "value",
         )
     )
@@ -57,8 +57,8 @@ def stream_kafka_messages(spark: SparkSession, options: dict[str, str]) -> DataF
         F.concat_ws(
             "-",
             "topic",
-            F.lpad(F.col("partition").cast("string"), 6, "0"),
-            F.lpad(F.col("offset").cast("string"), 20, "0"),
+            sortable(F.col("partition")),
+            sortable(F.col("offset"), LONG_DIGITS),
         ).alias("seq"),
         F.col("value").cast("string").alias("value"),
     )

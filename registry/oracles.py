@@ -92,7 +92,7 @@ kept AS (
   WHERE stanox_code IS NOT NULL AND COALESCE(arrival_time, departure_time) IS NOT NULL
     AND days_run <> '0000000'),
 schedule AS (
-  SELECT seq || '-' || {_pad('row_number() OVER (PARTITION BY seq ORDER BY n)', 5)} AS id,
+  SELECT seq || '-' || {_pad('row_number() OVER (PARTITION BY seq ORDER BY n)', 10)} AS id,
     o_orderkey, o_custkey, o_orderpriority, o_orderstatus, seq, schedule_train_id, service_code,
     stp_indicator, atoc_code,
     row_number() OVER (PARTITION BY seq ORDER BY n) AS stop_sequence, stanox_code,
@@ -332,7 +332,7 @@ whole AS (
     list(COALESCE(arrival_time, departure_time) ORDER BY place) AS all_times
   FROM stitched GROUP BY 1),
 secondary AS (
-  SELECT s.association_id || '-' || {_pad('place', 5)} AS id, s.association_id,
+  SELECT s.association_id || '-' || {_pad('place', 10)} AS id, s.association_id,
     a.associated_schedule_train_id AS schedule_train_id, s.service_code, a.stp_indicator, s.atoc_code,
     place AS stop_sequence, s.stanox_code, all_codes[first_place + 2:] AS codes,
     all_times[first_place + 2:] AS times, a.days_run_pattern, a.associated_start AS schedule_start,
@@ -506,9 +506,10 @@ _WEEKDAY = "lower(strftime({} - 1, '%a'))"
 _STORED_LATER = """
 changes AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS tiploc_code,
-    CASE event_type WHEN 'signup' THEN 'Create' WHEN 'purchase' THEN 'Update' WHEN 'error' THEN 'Delete' END AS op,
+    CASE event_type WHEN 'signup' THEN 'Create' WHEN 'purchase' THEN 'Update' WHEN 'error' THEN 'Delete'
+      WHEN 'click' THEN 'Create' ELSE 'Update' END AS op,
     CAST(props->>'$.k' AS INTEGER) AS k
-  FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+  FROM events),
 writes AS (
   SELECT -1 AS event_id, id, tiploc_code, '00003' AS stanox_code, crs, description, primary_entry, 'Create' AS op
   FROM stanox
@@ -749,15 +750,14 @@ ORACLES: dict[str, str] = {
         *ALL_SCHEDULE, SUBSCRIBERS,
         body="""
         SELECT l.id AS log_id, s.id AS subscriber_id FROM schedule l JOIN subscribers s
-          ON s.schedule_train_id = l.schedule_train_id AND s.service_code = l.service_code
-        WHERE l.stop_sequence % 3 = 0""",
+          ON s.schedule_train_id = l.schedule_train_id AND s.service_code = l.service_code""",
     ),
     "range_subscribers": _with(
         *ALL_SCHEDULE, SUBSCRIBERS,
         body=f"""
         SELECT l.id AS log_id, s.id AS subscriber_id FROM schedule l JOIN subscribers s
           ON s.schedule_train_id = l.schedule_train_id AND s.service_code = l.service_code
-        WHERE l.stop_sequence % 3 = 0 AND {_IN_RANGE.format(schedules='schedule')}""",
+        WHERE {_IN_RANGE.format(schedules='schedule')}""",
     ),
     "watched_stops": _with(
         *ALL_SCHEDULE, SUBSCRIBERS, ASSOCIATION, MATCH, STITCH,
@@ -830,7 +830,7 @@ ORACLES: dict[str, str] = {
     "subscribe_refused": _with(
         *ALL_SCHEDULE, SUBSCRIBERS,
         body="""
-        SELECT p || id AS seq, user_id, 'Primary' AS record_type, id || '-99999' AS record_id,
+        SELECT p || id AS seq, user_id, 'Primary' AS record_type, id || '-0000099999' AS record_id,
           'unknown_schedule' AS reject_reason
         FROM subscribers, (VALUES ('a'), ('b')) v(p) WHERE right(id, 1) = '3'""",
     ),

@@ -551,24 +551,21 @@ def notifiable(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "schedule_train_id", "variation_status", "difference", text.alias("delay_text"))
 
 
-def _third_stops(rows: DataFrame) -> DataFrame:
-    """Every third stop of each train, as if it were reported late."""
-    place = F.col("stop_sequence")
-    return rows.withColumn("late", place % 3 == 0).filter("late").select(
-        F.col("id").alias("log_id"), "schedule_train_id", "service_code", "stanox_code"
-    )
+def _every_stop(rows: DataFrame) -> DataFrame:
+    """Every stop of each train, as if it were reported late."""
+    return rows.select(F.col("id").alias("log_id"), "schedule_train_id", "service_code", "stanox_code")
 
 
 def route_subscribers(spark: SparkSession, d: str) -> DataFrame:
     rows = shapes.schedule(spark, d)
-    logs = _third_stops(rows).select("log_id", "schedule_train_id", "service_code")
+    logs = _every_stop(rows).select("log_id", "schedule_train_id", "service_code")
     return affected_on_route(logs, shapes.subscribers(spark, d, rows)).select("log_id", "subscriber_id")
 
 
 def range_subscribers(spark: SparkSession, d: str) -> DataFrame:
     rows = shapes.schedule(spark, d)
     none = empty_table(spark, "schedule_secondary")
-    affected = affected_on_range(_third_stops(rows), shapes.subscribers(spark, d, rows), rows, none)
+    affected = affected_on_range(_every_stop(rows), shapes.subscribers(spark, d, rows), rows, none)
     return affected.select("log_id", "subscriber_id")
 
 
@@ -620,6 +617,8 @@ def feed_fold_stanox(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_type") == "signup", "Create")
         .when(F.col("event_type") == "purchase", "Update")
         .when(F.col("event_type") == "error", "Delete")
+        .when(F.col("event_type") == "click", "Create")
+        .otherwise("Update")
     )
     changes = events.select(
         F.concat(F.lit("e"), shapes.padded(event)).alias("seq"),
@@ -630,7 +629,7 @@ def feed_fold_stanox(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("event "), event.cast("string")).alias("description"),
         (k % 2 == 0).alias("primary_entry"),
     )
-    return fold_stanox(stored.select(*COLUMNS["stanox"]), changes.filter(F.col("op").isNotNull()))
+    return fold_stanox(stored.select(*COLUMNS["stanox"]), changes)
 
 
 def feed_fold_schedule(spark: SparkSession, d: str) -> DataFrame:
@@ -681,7 +680,7 @@ def _subscribe_requests(spark: SparkSession, d: str) -> DataFrame:
     first = held.drop("service_code", "schedule_train_id").withColumn("record_type", F.lit("Primary"))
     missing = F.col("id").endswith("3")
     named = first.withColumn(
-        "record_id", F.concat(F.col("id"), F.when(missing, F.lit("-99999")).otherwise(F.lit("-00001")))
+        "record_id", F.concat(F.col("id"), F.when(missing, F.lit("-0000099999")).otherwise(F.lit("-0000000001")))
     )
     twice = F.array(
         F.struct(F.lit("a").alias("mark"), F.col("email").alias("sent")),

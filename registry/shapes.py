@@ -153,7 +153,7 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
         & F.coalesce("arrival_time", "departure_time").isNotNull()
     )
     flat = schedule_rows(stops, tiploc_map(stanox(spark, sf_dir)))
-    record_id = F.concat_ws("-", padded(F.col("seq")), padded(F.col("stop_sequence"), 5))
+    record_id = F.concat_ws("-", padded(F.col("seq")), padded(F.col("stop_sequence"), 10))
     return flat.withColumn("id", record_id).select(*COLUMNS["schedule"])
 
 
