@@ -107,5 +107,7 @@ PREFERRED_TIPLOCS = [
 # Defaults of the job parameters.
 LATE_THRESHOLD_MS = 15 * 60 * 1000
 ACTIVATION_TTL_MS = 3 * 24 * 3600 * 1000
+#: Groups that the records of one train are dealt over when they meet its activations.
+DEFAULT_SALTS = 4
 HISTORY_LOOKBACK_MS = 30 * 24 * 3600 * 1000
 MIN_SCHEDULE_DAYS = 2

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railbeam.constants import DEFAULT_SALTS
 from railbeam.operators.firsts import last_per
 
 ACTIVATION_FIELDS = ["schedule_train_id", "origin_stanox_code", "origin_departure_timestamp"]
@@ -35,7 +36,7 @@ def with_activation(
     ttl_ms: int,
     order: Sequence[str] = ("arrival_ms", "seq"),
     slices: int = 16,
-    salts: int = 1,
+    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Inner as-of join; a record before its activation or past its expiry is dropped.
 

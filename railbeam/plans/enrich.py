@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from railbeam.constants import (
     ACTIVATION_TTL_MS,
+    DEFAULT_SALTS,
     MSG_ACTIVATION,
     MSG_CANCELLATION,
     MSG_CHANGE_OF_ORIGIN,
@@ -30,7 +31,7 @@ class Logs:
 
 
 def enrich(
-    exploded: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, slices: int = 16, salts: int = 1
+    exploded: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, slices: int = 16, salts: int = DEFAULT_SALTS
 ) -> DataFrame:
     """J2 for all record types in one pass."""
     activations = records_of(exploded, MSG_ACTIVATION)
@@ -40,7 +41,7 @@ def enrich(
     return with_activation(records, activations, ttl_ms, ORDER, slices, salts)
 
 
-def logs(exploded: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, salts: int = 1) -> Logs:
+def logs(exploded: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, salts: int = DEFAULT_SALTS) -> Logs:
     """The three logs of a batch of messages."""
     enriched = enrich(exploded, ttl_ms, salts=salts)
     return logs_of(enriched)

@@ -48,23 +48,30 @@ def _read_or_empty(spark: SparkSession, path: str, table: str) -> DataFrame:
         return empty_table(spark, table)
 
 
-def current_version(spark: SparkSession, root: str, table: str) -> int:
-    """The last finished version of a table; 0 before the first."""
+class VersionConflict(RuntimeError):
+    """Another writer changed a table between the reading and the writing of this one."""
+
+
+def current_versions(spark: SparkSession, root: str) -> dict[str, int]:
+    """The last finished version of every table that has one, all read at once."""
     try:
         versions = spark.read.schema("table string, version int").json(f"{root}/_versions")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return 0
-    last = versions.filter(F.col("table") == table).agg(F.max("version")).first()
-    return last[0] or 0
+        return {}
+    return {r["table"]: r["last"] for r in versions.groupBy("table").agg(F.max("version").alias("last")).collect()}
 
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The whole current content of a table."""
+def read_table(spark: SparkSession, root: str, table: str, versions: dict[str, int] | None = None) -> DataFrame:
+    """The whole current content of a table, or that of ``versions``.
+
+    Whoever reads several tables resolves ``current_versions`` once, so that a load between two reads
+    can't mix their versions.
+    """
     if table in LOG_TABLES:
         return _read_or_empty(spark, f"{root}/{table}", table).select(*COLUMNS[table])
-    version = current_version(spark, root, table)
+    version = (current_versions(spark, root) if versions is None else versions).get(table, 0)
     if version == 0:
         return empty_table(spark, table)
     return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}/v={version}")
@@ -76,18 +83,38 @@ def write_snapshots(
     tables: dict[str, DataFrame],
     version: int,
     already_written: Sequence[str] = (),
+    based_on: dict[str, int] | None = None,
 ) -> None:
-    """Write the new content of some tables, then make all of them current at once."""
+    """Write the new content of some tables, then make all of them current at once.
+
+    With ``based_on``, the versions that the new content was made from, nothing becomes current if another
+    writer has changed one of these tables since; the job can then be run again.
+    """
     for name, rows in tables.items():
         fields = COLUMNS[name]
         rows.select(*fields).write.mode("overwrite").parquet(f"{root}/{name}/v={version}")
     names = [*tables, *already_written]
+    if based_on is not None:
+        now = current_versions(spark, root)
+        changed = [name for name in names if now.get(name, 0) != based_on.get(name, 0)]
+        if changed:
+            raise VersionConflict(f"{changed} changed while version {version} was made under {root}")
     listed = spark.createDataFrame([(name, version) for name in names], "table string, version int")
     listed.coalesce(1).write.mode("append").json(f"{root}/_versions")
 
 
 def next_version(spark: SparkSession, root: str) -> int:
-    return 1 + max(current_version(spark, root, t) for t in SNAPSHOT_TABLES)
+    """A version number that no other writer has: its claim is a file that must not exist before."""
+    version = 1 + max(current_versions(spark, root).values(), default=0)
+    while not _created(spark, f"{root}/_claims/v={version}"):
+        version += 1
+    return version
+
+
+def _created(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if it exists."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(file)
 
 
 def write_log_batch(rows: DataFrame, root: str, table: str, batch: str) -> None:
@@ -105,4 +132,6 @@ def write_log_batch(rows: DataFrame, root: str, table: str, batch: str) -> None:
 
 
 def load_tables(spark: SparkSession, root: str) -> RailTables:
-    return RailTables(**{t: read_table(spark, root, t) for t in SNAPSHOT_TABLES + LOG_TABLES})
+    """All tables, the snapshots as of one moment."""
+    versions = current_versions(spark, root)
+    return RailTables(**{t: read_table(spark, root, t, versions) for t in SNAPSHOT_TABLES + LOG_TABLES})

@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from railbeam.constants import ACTIVATION_TTL_MS, MSG_ACTIVATION, MSG_CANCELLATION, MSG_CHANGE_OF_ORIGIN, MSG_MOVEMENT
+from railbeam.constants import (
+    ACTIVATION_TTL_MS,
+    DEFAULT_SALTS,
+    MSG_ACTIVATION,
+    MSG_CANCELLATION,
+    MSG_CHANGE_OF_ORIGIN,
+    MSG_MOVEMENT,
+)
 from railbeam.operators.asof import ACTIVATION_FIELDS
 
 ORDER = ["arrival_ms", "seq", "pos"]
@@ -73,7 +80,7 @@ def activation_state(ttl_ms: int, columns: list[str]) -> StatefulProcessor:
     return ActivationState()
 
 
-def enrich_stream(records: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, salts: int = 1) -> DataFrame:
+def enrich_stream(records: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, salts: int = DEFAULT_SALTS) -> DataFrame:
     """Records with their train's activation; those that have none are dropped for good.
 
     ``records`` are exploded messages. With ``salts`` above 1 the records of one train are dealt over

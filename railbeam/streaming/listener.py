@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from railbeam.constants import ACTIVATION_TTL_MS, LATE_THRESHOLD_MS
+from railbeam.constants import ACTIVATION_TTL_MS, DEFAULT_SALTS, LATE_THRESHOLD_MS
 from railbeam.operators.notices import cancellation_notices, change_of_origin_notices, movement_notices
 from railbeam.plans.enrich import logs_of
 from railbeam.schemas import TABLES
@@ -18,9 +19,10 @@ from railbeam.sources.messages import (
     parse_messages,
     route_counts_per_minute,
 )
-from railbeam.sources.snapshots import read_table, write_log_batch
+from railbeam.sources.snapshots import current_versions, read_table, write_log_batch
 from railbeam.streaming.activation_state import enrich_stream
 
+
 def write_batch(
     spark: SparkSession, root: str, enriched: DataFrame, batch: str, threshold_ms: int
 ) -> None:
@@ -45,13 +47,18 @@ def write_batch(
     def written(table: str) -> DataFrame:
         return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}/batch={batch}")
 
-    subscribers, stanox = read_table(spark, root, "subscribers"), read_table(spark, root, "stanox")
+    versions = current_versions(spark, root)
+
+    def current(table: str) -> DataFrame:
+        return read_table(spark, root, table, versions)
+
+    subscribers, stanox = current("subscribers"), current("stanox")
     notices = (
         movement_notices(
             written("movement_log"),
             subscribers,
-            read_table(spark, root, "schedule"),
-            read_table(spark, root, "schedule_secondary"),
+            current("schedule"),
+            current("schedule_secondary"),
             stanox,
             threshold_ms,
         )
@@ -69,16 +76,24 @@ def run_movement_stream(
     name: str = "movements",
     ttl_ms: int = ACTIVATION_TTL_MS,
     threshold_ms: int = LATE_THRESHOLD_MS,
-    salts: int = 1,
+    salts: int = DEFAULT_SALTS,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the stream from raw messages to logs and notices."""
+    """Start the stream from raw messages to logs and notices.
+
+    A batch is named by the query's own id, which stays the same for one checkpoint and differs between
+    two, so a stream with a new checkpoint never replaces what another has written.
+    """
     enriched = enrich_stream(explode_messages(parse_messages(messages)), ttl_ms, salts)
 
+    query_id: Future[str] = Future()
+
     def handle(rows: DataFrame, batch_id: int) -> None:
-        write_batch(rows.sparkSession, root, rows, f"{name}-{batch_id}", threshold_ms)
+        write_batch(rows.sparkSession, root, rows, f"{name}-{query_id.result()}-{batch_id}", threshold_ms)
 
-    return _start(enriched, checkpoint, f"{name}_logs", handle, trigger)
+    query = _start(enriched, checkpoint, f"{name}_logs", handle, trigger)
+    query_id.set_result(query.id)
+    return query
 
 
 def run_message_counts(

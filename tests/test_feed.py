@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from railbeam.functions import times
 from railbeam.functions.days import run_pattern
-from railbeam.functions.text import delay_text, difference_text
+from railbeam.functions.text import delay_text, difference_text, sortable
 from railbeam.sources import feed, messages
 from tests import rows as R
 
@@ -151,3 +151,8 @@ def test_answers_do_not_depend_on_the_session_time_zone(spark):
         assert _values(spark, instant) == [dt.date(2018, 5, 26)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_ids_of_a_long_message_are_distinct_and_in_order(spark):
+    ids = spark.range(100_500).select(sortable(F.col("id").cast("int")).alias("id"), F.col("id").alias("n"))
+    assert [r.n for r in ids.orderBy("id").select("n").collect()] == list(range(100_500))

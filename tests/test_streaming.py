@@ -114,3 +114,14 @@ def test_expired_activation_in_stream_is_not_used(spark, tmp_path):
     exploded = explode_messages(parse_messages(read_messages(spark, str(landing))))
     assert enrich(exploded, ttl_ms=5000).count() == 0
     assert enrich(exploded, ttl_ms=6000).count() == 1
+
+
+def test_a_second_checkpoint_replaces_no_log(spark, tmp_path):
+    root, landing = _setup(spark, tmp_path)
+    source = stream_messages(spark, str(landing))
+    _land(landing, "a.txt", [[R.activation()], [R.movement()]], 1514664000)
+    run_movement_stream(spark, root, source, str(tmp_path / "one"), ttl_ms=DAY, trigger=ONCE).awaitTermination()
+    (landing / "a.txt").unlink()
+    _land(landing, "b.txt", [[R.activation()], [R.movement(stanox=R.CODE["MERSTHAM"])]], 1514664100)
+    run_movement_stream(spark, root, source, str(tmp_path / "two"), ttl_ms=DAY, trigger=ONCE).awaitTermination()
+    assert read_table(spark, root, "movement_log").count() == 2

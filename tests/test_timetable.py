@@ -18,7 +18,16 @@ from railbeam.plans.stations import stations
 from railbeam.plans.subscriptions import subscribe, subscriptions, unsubscribe
 from railbeam.schemas import COLUMNS, TABLES
 from railbeam.sources import feed, messages
-from railbeam.sources.snapshots import load_tables, read_table, write_log_batch
+from railbeam.sources.snapshots import (
+    VersionConflict,
+    current_versions,
+    empty_table,
+    load_tables,
+    next_version,
+    read_table,
+    write_log_batch,
+    write_snapshots,
+)
 from tests import rows as R
 
 CODE = R.CODE
@@ -360,3 +369,27 @@ def test_notifiable_is_strict(spark):
         [("LATE", 900000), ("LATE", 900001), ("EARLY", 900001), ("OFF ROUTE", 0)], "variation_status string, d bigint"
     ).withColumn("actual_timestamp", F.col("d")).withColumn("planned_passenger_timestamp", F.lit(0))
     assert [r[0] for r in rows.select(is_notifiable()).collect()] == [False, True, False, True]
+
+
+def test_two_writers_and_a_reader_in_between(spark, tmp_path):
+    root = str(tmp_path / "root")
+    load_timetable(spark, root, [R.write_feed(tmp_path / "a.json", [*R.station_lines(), R.schedule_line("G1")])])
+    before = current_versions(spark, root)
+    mine, other = next_version(spark, root), next_version(spark, root)
+    assert mine != other
+    write_snapshots(spark, root, {"schedule": empty_table(spark, "schedule")}, other, based_on=before)
+    # A reader that resolved its versions before still sees the tables of that moment.
+    assert read_table(spark, root, "schedule", before).count() > 0 == read_table(spark, root, "schedule").count()
+    with pytest.raises(VersionConflict):
+        write_snapshots(spark, root, {"schedule": empty_table(spark, "schedule")}, mine, based_on=before)
+    # Writers of other tables don't disturb each other.
+    write_snapshots(spark, root, {"subscribers": empty_table(spark, "subscribers")}, mine, based_on=before)
+    assert current_versions(spark, root) == {**before, "schedule": other, "subscribers": mine}
+
+
+def test_unknown_kinds_of_records_share_one_directory(spark, tmp_path):
+    root = str(tmp_path / "root")
+    lines = [*R.station_lines(), *('{"Odd%d":{}}' % k for k in range(30))]
+    load_timetable(spark, root, [R.write_feed(tmp_path / "a.json", lines)])
+    rejects = spark.read.parquet(f"{root}/rejects").where("reject_reason = 'unknown_record_kind'").collect()
+    assert {r.value for r in rejects} == {'{"Odd%d":{}}' % k for k in range(30)} and {r.kind for r in rejects} == {"Unknown"}
