@@ -21,7 +21,7 @@ from railbeam.llm.common import renamed
 
 HALF, STRIDE, FILTERS, HIDDEN, CODE = 128, 4, 48, 16, 12
 POSITIONS = HALF // STRIDE
-#: The sample for training: texts per label, and chunks of each (around hashed places).
+#: The sample for training: texts per label at most, and chunks of each (around hashed places).
 PER_LABEL, SAMPLE_CHUNKS = 1500, 6
 #: Halves that are scored at a time.
 BLOCK = 2048
@@ -173,21 +173,20 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, rate: float = 3
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = PER_LABEL) -> Network | None:
-    """Train on about ``per_label`` labelled texts of each label at most, chosen by a hash; None if there are none.
+    """Train on at most ``per_label`` labelled texts of each label, chosen by a hash; None if there are none.
 
-    ``learn_from`` is a condition on the labels' id. Of each sampled text a window of 4,000 characters is read.
+    ``learn_from`` is a condition on the labels' id. Of each sampled text a window of 4,000 characters is read; of
+    rows that share an id, one. The chosen ids are at most twice ``per_label``, so they are broadcast and the texts
+    are not shuffled.
     """
     marks = renamed(labels, own=doc_id, label=label).where("label is not null and own is not null").where(learn_from)
     marks = marks.groupBy("own").agg(F.max("label").cast("int").alias("label"))
-    sizes = {row["label"]: row["n"] for row in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    place = F.pmod(F.xxhash64("own"), F.lit(1_000_003))
-    share = F.create_map(*[F.lit(z) for name, n in sizes.items() for z in (name, min(1.0, per_label / n) * 1_000_003)])
-    chosen = marks.where(place < F.element_at(share, F.col("label")))
+    zero, one = (marks.where(F.col("label") == k).orderBy(F.xxhash64("own"), "own").limit(per_label) for k in (0, 1))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - 4000)) + 1
-    rows = renamed(docs, doc_id=doc_id, text=text).where("text is not null").join(chosen, F.col("doc_id") == F.col("own"))
-    sample = rows.select("own", "label", F.col("text").substr(start.cast("int"), F.lit(4000)).alias("part")).collect()
+    rows = renamed(docs, doc_id=doc_id, text=text).where("text is not null")
+    rows = rows.join(F.broadcast(zero.unionByName(one)), F.col("doc_id") == F.col("own"))
+    rows = rows.select("own", "label", F.col("text").substr(start.cast("int"), F.lit(4000)).alias("part"))
+    sample = rows.groupBy("own", "label").agg(F.max("part").alias("part")).collect()
     sample.sort(key=lambda row: (row["own"], row["part"]))
     return train([row["part"] for row in sample], [row["label"] for row in sample]) if sample else None
 
