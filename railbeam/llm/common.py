@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from zlib import crc32
@@ -15,13 +16,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 
 
+#: Folders of local sessions without the setting, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="railbeam-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder all executors see: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a new folder of its own; on a cluster that is an error, since
+    no folder of one machine would do.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="railbeam-shared-")
+    return _own_folders[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

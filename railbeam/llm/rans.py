@@ -21,11 +21,12 @@ import json
 import posixpath
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -43,8 +44,10 @@ HEAD = struct.Struct("<4sBBHIQI")
 CHUNK_IDS = 1 << 19
 #: Characters of a shard, which is one task and one file.
 SHARD_CHARS = 16_000_000
-#: Pieces of text whose ids a Python worker remembers, in each of its two memories.
-MEMORY = 600_000
+#: Bytes of a generation of remembered words in a Python worker; what an entry takes besides its text and ids.
+MEMORY, ENTRY_BYTES = 32 << 20, 200
+#: Characters of texts whose ids are found together; a longer text is a group of its own.
+GROUP_CHARS = 8 << 20
 
 
 # --- tokens -------------------------------------------------------------------------------------------------
@@ -58,14 +61,17 @@ _ODD = re.compile(r"(?:^|\s) | (?:\s|$)")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOWN = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_SHOWN_BLANK = chr(_SHOWN[32])
 _loaded: dict = {}
 
 
 class Encoder:
-    """Ids of whole texts by the ``tokenizers`` library; pieces between single blanks are encoded once and remembered.
+    """Ids of whole texts by the ``tokenizers`` library, a group of texts at a time.
 
-    ``often`` has the pieces that were met again, ``once`` those met a single time, and each is emptied when it is
-    full, so memory has a bound and rare pieces don't push out common ones.
+    The texts of a group are cut at single blanks. Each distinct piece of the group is cut into words once, each
+    word goes through the library's BPE model once, and the ids of the texts are gathered from those of the pieces.
+    Words met before are remembered in two generations of ``MEMORY`` bytes each: a full young one becomes the old
+    one, and what is asked for again becomes young. Long words are not remembered.
     """
 
     def __init__(self, path: str):
@@ -78,25 +84,38 @@ class Encoder:
         self.by_pieces = not kind["normalizer"] and (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
         short = self.tokenizer.get_vocab_size() <= 1 << 16
         self.code, self.kind = ("H", "<u2") if short else ("I", "<u4")
-        self.often: dict[str, bytes] = {}
-        self.once: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _pieces(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that begin with a blank: each is cut as the byte-level pre-tokenizer does, and its words
-        go through the library's BPE model, once for each distinct word."""
-        found = []
-        for text in texts:
-            ids = []
-            for word in _WORDS.findall(text):
-                own = self.words.get(word)
-                if own is None:
-                    if len(self.words) > MEMORY:
-                        self.words.clear()
-                    seen = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
-                    own = self.words[word] = array.array(self.code, [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
-                ids.append(own)
-            found.append(b"".join(ids))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that is not young."""
+        ids = self.old.get(word)
+        if ids is None:
+            plain = word[1:] if word[0] == " " else word
+            if plain.isascii() and plain.isprintable() and " " not in plain:
+                seen = _SHOWN_BLANK + plain if word[0] == " " else plain
+            else:
+                seen = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
+            ids = array.array(self.code, [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+        cost = ENTRY_BYTES + len(word) + len(ids)
+        if cost <= 2 * ENTRY_BYTES:
+            if self.held + cost > MEMORY:
+                self.old, self.young, self.held = self.young, {}, 0
+            self.young[word] = ids
+            self.held += cost
+        return ids
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, words))
+        new: dict[str, bytes] = {}
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = new.get(word)
+                if ids is None:
+                    ids = new[word] = self._word(word)
+                found[i] = ids
         return found
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -109,39 +128,62 @@ class Encoder:
             return not _ODD.search(text)
         return not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ")
 
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.kind)
-        if not self._cuttable(text):
-            return np.frombuffer(self._encode([text])[0], self.kind)
-        first, *rest = text.split(" ")
-        found = list(map(self.often.get, rest))
-        if None in found:
-            self._fill(rest, found)
-        return np.frombuffer(self._encode([first])[0] + b"".join(found), self.kind)
-
-    def _fill(self, pieces: list[str], found: list[bytes | None]) -> None:
-        """Ids of the pieces that are not known as common; each stands behind a blank."""
-        gaps = [i for i, ids in enumerate(found) if ids is None]
-        again, new = {}, []
-        for piece in {pieces[i] for i in gaps}:
-            ids = self.once.pop(piece, None)
-            if ids is None:
-                new.append(piece)
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that can be cut at their blanks."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts = cut.offsets.to_numpy()
+        values = cut.values
+        # The first piece of a text has no blank before it; a last one may end in other white space.
+        odd = np.zeros(len(values), bool)
+        odd[starts[:-1]] = True
+        odd[[end - 1 for end, text in zip(starts[1:].tolist(), texts, strict=True) if text[-1].isspace()]] = True
+        spelt = values.filter(pa.array(~odd)).dictionary_encode()
+        pieces = spelt.dictionary.to_pylist()
+        words = _WORDS.findall(" " + " ".join(pieces)) if pieces else []
+        firsts = np.flatnonzero(np.fromiter((word[0] == " " for word in words), bool, len(words)))
+        coded = self._words(words)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        sizes = np.add.reduceat(sizes, firsts) if pieces else sizes
+        at_start = set(starts[:-1].tolist())
+        for place in np.flatnonzero(odd).tolist():
+            piece = values[place].as_py()
+            coded.append(self._encode([piece])[0] if place in at_start else b"".join(self._words(_WORDS.findall(" " + piece))))
+        width = np.dtype(self.kind).itemsize
+        sizes = np.concatenate((sizes, np.fromiter(map(len, coded[len(words) :]), np.int64, int(odd.sum())))) // width
+        flat = np.frombuffer(b"".join(coded), self.kind)
+        which = np.empty(len(values), np.int64)
+        which[~odd], which[odd] = spelt.indices.to_numpy(), len(pieces) + np.arange(int(odd.sum()))
+        each = sizes[which]
+        upto = np.cumsum(each)
+        bounds = np.concatenate((np.zeros(1, np.int64), upto))[starts]
+        from_ = np.repeat((np.cumsum(sizes)[which] - upto).astype(np.int32), each)
+        from_ += np.arange(len(from_), dtype=np.int32)
+        ids = flat[from_]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def ids_of(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; null and empty texts have none. Groups hold ``GROUP_CHARS`` or one text."""
+        waiting: list[str | None] = []
+        held = 0
+        for text in texts:
+            if held and held + len(text or "") > GROUP_CHARS:
+                yield from self._in_order(waiting)
+                waiting, held = [], 0
+            waiting.append(text)
+            held += len(text or "")
+        yield from self._in_order(waiting)
+
+    def _in_order(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        fit = [i for i, text in enumerate(texts) if text and self._cuttable(text)]
+        found = dict(zip(fit, self._group([texts[i] for i in fit]), strict=True)) if fit else {}
+        for i, text in enumerate(texts):
+            if i in found:
+                yield found[i]
             else:
-                again[piece] = ids
-        if len(self.often) + len(again) > MEMORY:
-            self.often.clear()
-        self.often.update(again)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known = dict(zip(part, self._pieces([" " + piece for piece in part]), strict=True))
-            again |= known
-            if len(self.once) > MEMORY:
-                self.once.clear()
-            self.once.update(known)
-        for i in gaps:
-            found[i] = again[pieces[i]]
+                yield np.frombuffer(self._encode([text])[0] if text else b"", self.kind)
+
+    def ids(self, text: str) -> np.ndarray:
+        return next(iter(self.ids_of([text])))
 
 
 def encoder(path: str) -> Encoder:
@@ -253,29 +295,37 @@ _NAMES = ["shard", "chunk", "before", "n_ids", "doc_ids", "lengths"]
 
 
 def _tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Chunks in order with their ids as plain numbers: every text is read, moved and encoded once."""
+    """Chunks in order with their ids as plain numbers: every text is read, moved and encoded once.
+
+    The last row of a shard has no ids but how often each id occurs in it (``seen`` and ``times``).
+    """
     characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + characters // SHARD_CHARS
     own_type = docs.schema["doc_id"].dataType.simpleString()
-    id_type = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[own_type])
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), id_type, pa.list_(pa.int64()), pa.binary()]
+    numbers = pa.list_(pa.int64())
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), None, numbers, pa.binary(), numbers, numbers]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
         chunk, before, held, shard, ids, lengths, parts = 0, 0, 0, 0, [], [], []
         end = np.array([end_id], own.kind)
+        counts = np.zeros(max(own.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+
+        def batch_of(*row) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([c], k or id_list) for c, k in zip(row, kinds, strict=True)], [*_NAMES, "ids", "seen", "times"])
 
         def packed() -> pa.RecordBatch:
             joined = np.concatenate(parts).astype("<u2" if own.kind == "<u2" and end_id < 1 << 16 else "<u4")
-            row = [shard, chunk, before, held, ids, lengths, joined.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], [*_NAMES, "ids"])
+            counts[:] += np.bincount(joined, minlength=len(counts))
+            return batch_of(shard, chunk, before, held, pa.array(ids, id_list.value_type), lengths, joined.tobytes(), None, None)
 
         for batch in batches:
-            for doc, value, place in zip(*batch.columns, strict=True):
-                shard = place.as_py()
-                found = own.ids(value.as_py() or "")
+            id_list = pa.list_(batch.schema.field(0).type)
+            if batch.num_rows:
+                shard = batch.column(2)[0].as_py()
+            for doc, found in zip(batch.column(0), own.ids_of(x.as_py() for x in batch.column(1)), strict=True):
                 parts += [found, end]
-                ids.append(doc.as_py())
+                ids.append(doc)
                 lengths.append(len(found) + 1)
                 held += lengths[-1]
                 if held >= CHUNK_IDS:
@@ -283,10 +333,13 @@ def _tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                     chunk, before, held, ids, lengths, parts = chunk + 1, before + held, 0, [], [], []
         if parts:
             yield packed()
+        seen = np.flatnonzero(counts)
+        if len(seen):
+            yield batch_of(shard, None, None, None, None, None, None, seen.tolist(), counts[seen].tolist())
 
     key = [F.asc_nulls_last("doc_id"), F.asc("mark")]
     spread = docs.withColumn("mark", F.xxhash64("text")).repartitionByRange(shards, *key).sortWithinPartitions(*key)
-    schema = f"shard int, chunk int, before long, n_ids long, doc_ids array<{own_type}>, lengths array<long>, ids binary"
+    schema = f"shard int, chunk int, before long, n_ids long, doc_ids array<{own_type}>, lengths array<long>, ids binary, seen array<long>, times array<long>"
     return spread.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(of, schema)
 
 
@@ -296,18 +349,8 @@ def _plain(ids: bytes, count: int) -> np.ndarray:
 
 def _counted(chunks: DataFrame) -> np.ndarray:
     """How often each id occurs in all chunks."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, count in zip(*batch.columns, strict=True):
-                found = np.bincount(_plain(ids.as_py(), count.as_py()), minlength=len(counts))
-                found[: len(counts)] += counts
-                counts = found
-        seen = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["id", "n"])
-
-    rows = chunks.select("ids", "n_ids").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    each = chunks.where("chunk is null").select(F.explode(F.arrays_zip("seen", "times")).alias("x"))
+    rows = each.groupBy(F.col("x.seen").alias("id")).agg(F.sum("x.times").alias("n")).collect()
     counts = np.zeros(1 + max((row["id"] for row in rows), default=0), np.int64)  # as long as the vocabulary at most
     for row in rows:
         counts[row["id"]] = row["n"]
@@ -334,8 +377,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 payload = coder.encode(_plain(one.column("ids")[0].as_py(), one.column("n_ids")[0].as_py()))
                 yield pa.RecordBatch.from_arrays([*[one.column(c) for c in _NAMES], pa.array([payload], pa.binary())], [*_NAMES, "payload"])
 
-    schema = plain.select(*_NAMES).schema.add("payload", "binary")
-    plain.mapInArrow(of, schema).write.option("compression", "uncompressed").parquet(posixpath.join(path, "chunks"))
+    chunks = plain.where("chunk is not null").select(*_NAMES, "ids")
+    chunks.mapInArrow(of, chunks.select(*_NAMES).schema.add("payload", "binary")).write.option("compression", "uncompressed").parquet(posixpath.join(path, "chunks"))
     forget(plain)
 
 
