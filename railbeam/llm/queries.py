@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbeam.llm import byte_cnn, ctw, decontam, langid, line_blocks, mixing, quality_rules, rans, secret_scan, simhash
+from railbeam.llm import byte_cnn, ctw, decontam, langid, line_blocks, mixing, packing, quality_rules, rans, resampling, secret_scan, simhash, vector_codes
 from railbeam.llm.common import fold_of, new_path
 
 
@@ -65,6 +65,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.encode(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    rows = vector_codes.label_errors(codes.rows)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = resampling.resample(docs, target, percent=5, least_words=20, seed=42)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -76,5 +92,38 @@ QUERIES = {
     "op8_context_tree": op8_context_tree,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_packing": op11_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_resampling": op13_resampling,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Every part against every entry, in each round."""
+    distance = "list_sum([(a.x[i] - c.x[i]) * (a.x[i] - c.x[i]) for i in range(1, len(a.x) + 1)])"
+    nearest = f"SELECT a.vec_id, a.p, a.x, min(struct_pack(d := {distance}, e := c.e)) AS best FROM cut a JOIN books{{r}} c ON a.p = c.p GROUP BY ALL"
+    steps = [
+        f"""kept AS (SELECT vec_id, label, [CAST(floor({scale} * CAST(y AS DOUBLE)) AS BIGINT) for y in embedding] AS v FROM embeddings
+             WHERE len(embedding) > 0 AND len([y for y in embedding if y IS NULL OR NOT isfinite(y)]) = 0)""",
+        f"""cut AS (SELECT vec_id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS _(p))""",
+        f"books0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM cut QUALIFY e < {entries})",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"near{r} AS ({nearest.format(r=r)})",
+            f"""means{r} AS (SELECT p, best.e AS e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m
+                FROM near{r}, range(1, (SELECT max(len(x)) FROM cut) + 1) AS _(i) GROUP BY ALL)""",
+            f"""books{r + 1} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM books{r} b
+                LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS x FROM means{r} GROUP BY ALL) m ON b.p = m.p AND b.e = m.e)""",
+        ]
+    steps += [
+        f"last AS ({nearest.format(r=rounds)})",
+        "rows AS (SELECT vec_id, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM last GROUP BY vec_id)",
+        f"said AS (SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM books{rounds}, range(1, len(x) + 1) AS _(i))",
+    ]
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM rows JOIN kept USING (vec_id), said"""
+
+
+ORACLES: dict[str, str] = {"op12_vector_codes": _vector_codes_sql()}

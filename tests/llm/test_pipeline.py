@@ -12,7 +12,7 @@ from tests.llm.test_text_operators import prose, slow_fingerprint
 
 def test_registered():
     names = [name for name in __spark_entry__.queries() if name.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_stages(spark, tmp_path):
