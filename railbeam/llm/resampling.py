@@ -31,7 +31,7 @@ BUCKETS, LONGEST_RUN = 10_000, 3
 #: Bytes of text whose words are hashed at a time; a longer text is read in pieces of this size.
 PIECE = 1 << 20
 #: Rows of a block of positions, and bits of a digit.
-BLOCK_ROWS, DIGIT_BITS = 1 << 16, 12
+BLOCK_ROWS, DIGIT_BITS = 1 << 13, 11
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
