@@ -37,17 +37,17 @@ from railbeam.llm.common import forget, renamed, stored
 SCALE_BITS = 20
 SCALE = 1 << SCALE_BITS
 LOWEST = np.uint64(1 << 31)
-LANES, BLOCK = 8, 4096
+LANES, BLOCK = 32, 4096
 STEPS = BLOCK // LANES
 HEAD = struct.Struct("<4sBBHIQI")
 #: Ids of a chunk: it ends with the document that brings it to so many.
-CHUNK_IDS = 1 << 19
+CHUNK_IDS = 1 << 20
 #: Characters of a shard, which is one task and one file.
 SHARD_CHARS = 16_000_000
 #: Bytes of a generation of remembered words in a Python worker; what an entry takes besides its text and ids.
 MEMORY, ENTRY_BYTES = 32 << 20, 200
 #: Characters of texts whose ids are found together; a longer text is a group of its own.
-GROUP_CHARS = 8 << 20
+GROUP_CHARS = 12 << 20
 
 
 # --- tokens -------------------------------------------------------------------------------------------------
@@ -84,6 +84,7 @@ class Encoder:
         self.by_pieces = not kind["normalizer"] and (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
         short = self.tokenizer.get_vocab_size() <= 1 << 16
         self.code, self.kind = ("H", "<u2") if short else ("I", "<u4")
+        self.tokenize = self.tokenizer.model.tokenize
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -97,7 +98,7 @@ class Encoder:
                 seen = _SHOWN_BLANK + plain if word[0] == " " else plain
             else:
                 seen = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
-            ids = array.array(self.code, [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+            ids = array.array(self.code, [t.id for t in self.tokenize(seen)]).tobytes()
         cost = ENTRY_BYTES + len(word) + len(ids)
         if cost <= 2 * ENTRY_BYTES:
             if self.held + cost > MEMORY:
@@ -107,15 +108,15 @@ class Encoder:
         return ids
 
     def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the byte-level pre-tokenizer has cut."""
         found = list(map(self.young.get, words))
         new: dict[str, bytes] = {}
-        for i, ids in enumerate(found):
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            word = words[i]
+            ids = new.get(word)
             if ids is None:
-                word = words[i]
-                ids = new.get(word)
-                if ids is None:
-                    ids = new[word] = self._word(word)
-                found[i] = ids
+                ids = new[word] = self._word(word)
+            found[i] = ids
         return found
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -348,9 +349,20 @@ def _plain(ids: bytes, count: int) -> np.ndarray:
 
 
 def _counted(chunks: DataFrame) -> np.ndarray:
-    """How often each id occurs in all chunks."""
-    each = chunks.where("chunk is null").select(F.explode(F.arrays_zip("seen", "times")).alias("x"))
-    rows = each.groupBy(F.col("x.seen").alias("id")).agg(F.sum("x.times").alias("n")).collect()
+    """How often each id occurs in all chunks, from the sums of the shards."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            seen, times = (batch.column(c).flatten().to_numpy() for c in range(2))
+            found = np.bincount(seen, times, max(len(counts), 1)).astype(np.int64)  # far below 2^53
+            found[: len(counts)] += counts
+            counts = found
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["id", "n"])
+
+    sums = chunks.where("chunk is null").select("seen", "times").mapInArrow(of, "id long, n long")
+    rows = sums.groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((row["id"] for row in rows), default=0), np.int64)  # as long as the vocabulary at most
     for row in rows:
         counts[row["id"]] = row["n"]
