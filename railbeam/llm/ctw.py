@@ -20,11 +20,11 @@ No table of the corpus is broadcast or held by one task: what a chunk gets is wh
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,9 @@ DEPTH, UPPER = 5, 2
 #: The end of a text, as a token and as a byte; texts begin after as many ends as the tree is deep.
 END = b"\n"
 CHUNK_CHARS, STRINGS_PER_PART, BLOCK = 28_000_000, 500_000, 1 << 21
+#: Texts whose words are cut at a time, and rows of a batch that leaves a task.
+TEXTS_AT_ONCE, OUT_ROWS = 512, 1 << 16
+_COUNTED = ["chunk", "string", "word", "n"]
 LN2 = np.log(2.0)
 
 
@@ -138,10 +141,9 @@ def log10_of(strings: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
 # --- texts --------------------------------------------------------------------------------------------------
 
 
-def normal(text: str | None) -> tuple[list[bytes], bytes]:
-    """The tokens of a text without the end, and the bytes that the model sees: words between blanks, then the end."""
-    words = packed_words(text)
-    return words, b" ".join(words) + END
+def normal(text: str | None) -> bytes:
+    """The bytes of a text that the model sees: lower-cased words between blanks, then the end."""
+    return b" ".join(packed_words(text)) + END
 
 
 def byte_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,17 +178,28 @@ def _summed(strings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, np.bincount(place, counts, len(keys)).astype(np.int64)
 
 
-def chunk_counts(table: pa.Table) -> pa.Table:
-    """Strings and words of one chunk with their counts in its training texts."""
-    chunk = table.column("chunk")[0].as_py()
-    words: Counter = Counter()
-    other: set[bytes] = set()
-    texts, learns = [], []
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts with A-Z in lower case, and how many each text has; nulls have none."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, ends = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+    there = pc.not_equal(words, "")
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(there.to_numpy(zero_copy_only=False))))
+    return words.filter(there), np.diff(upto[ends - ends[0]])
+
+
+def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings and words of each chunk with their counts in its training texts, from (chunk, text, learn) by chunk.
+
+    Texts pass through in blocks; what is held is a chunk's distinct strings and words, as arrays.
+    """
+    texts: list[bytes] = []
+    learns: list[bool] = []
+    words: list[pa.Table] = []
     keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     held = 0
 
     def absorb() -> None:
-        nonlocal keys, counts
+        nonlocal keys, counts, held
         for learn in (True, False):
             part = [t for t, x in zip(texts, learns, strict=True) if x is learn]
             if part:
@@ -194,64 +207,86 @@ def chunk_counts(table: pa.Table) -> pa.Table:
                 keys, counts = _summed(np.concatenate((keys, own)), np.concatenate((counts, n if learn else np.zeros(len(own), np.int64))))
         texts.clear()
         learns.clear()
+        held = 0
 
-    for text, learn in zip(table.column("text"), table.column("learn").to_pylist(), strict=True):
-        tokens, data = normal(text.as_py())
-        words.update([*tokens, END]) if learn else other.update([*tokens, END])
-        texts.append(data)
-        learns.append(learn)
-        held += len(data)
-        if held > BLOCK:
-            absorb()
-            held = 0
-    absorb()
-    new = sorted(other.difference(words))
-    spelt, n = [*words, *new], [*words.values(), *[0] * len(new)]
-    rows = len(keys) + len(spelt)
-    return pa.table(
-        {
-            "chunk": pa.array(np.full(rows, chunk, np.int32)),
-            "string": pa.array([*[None] * len(spelt)], pa.int64()) if not len(keys) else pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(spelt), pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array(spelt, pa.binary())]),
-            "n": pa.concat_arrays([pa.array(counts, pa.int64()), pa.array(n, pa.int64())]),
-        }
-    )
-
-
-def scores(texts: pa.Table, values: pa.Table, train_tokens: int, train_words: int) -> tuple[list, ...]:
-    """(n_tokens, n_known, base_score, score) of a chunk's texts, given the numbers of its strings and words."""
-    is_word = values.column("word").is_valid().to_numpy()
-    number = values.column("value").to_numpy()
-    known = dict(zip(values.column("word").filter(pa.array(is_word)).to_pylist(), number[is_word].tolist(), strict=True))
-    strings = values.column("string").filter(pa.array(~is_word)).to_numpy().view(np.uint64)
+    def add_words(rows: pa.RecordBatch) -> None:
+        for learn in (True, False):
+            part = rows.filter(pc.equal(rows.column("learn"), learn)).column("text")
+            if len(part):
+                found = tokens_of(part)[0].value_counts()
+                spelt = pa.concat_arrays([found.field(0), pa.array([END.decode()])])
+                n = pa.concat_arrays([found.field(1), pa.array([len(part)], pa.int64())])
+                words.append(pa.table({"word": spelt, "n": n if learn else pa.array(np.zeros(len(spelt), np.int64))}))
+        if len(words) > 16:
+            words[:] = [merged()]
+
+    def merged() -> pa.Table:
+        whole = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
+        return pa.table({"word": whole.column("word"), "n": whole.column("n_sum")}).combine_chunks()
+
+    def chunk_of(chunk: int) -> Iterator[pa.RecordBatch]:
+        nonlocal keys, counts
+        absorb()
+        for at in range(0, len(keys), OUT_ROWS):
+            own = keys[at : at + OUT_ROWS]
+            columns = [np.full(len(own), chunk, np.int32), own.view(np.int64), pa.nulls(len(own), pa.string()), counts[at : at + OUT_ROWS]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _COUNTED)
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in merged().to_batches(OUT_ROWS):
+            rows = batch.num_rows
+            columns = [pa.array(np.full(rows, chunk, np.int32)), pa.nulls(rows, pa.int64()), batch.column("word"), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(columns, _COUNTED)
+        words.clear()
+
+    now = None
+    for batch in batches:
+        ends = np.flatnonzero(np.diff(batch.column("chunk").to_numpy())) + 1 if batch.num_rows else []
+        bounds = [0, *ends, batch.num_rows]
+        for first, stop in zip(bounds, bounds[1:], strict=False):
+            rows = batch.slice(first, stop - first)
+            if not rows.num_rows:
+                continue
+            chunk = rows.column("chunk")[0].as_py()
+            if now is not None and chunk != now:
+                yield from chunk_of(now)
+            now = chunk
+            for at in range(0, rows.num_rows, TEXTS_AT_ONCE):
+                add_words(rows.slice(at, TEXTS_AT_ONCE))
+            for text, learn in zip(rows.column("text"), rows.column("learn").to_pylist(), strict=True):
+                texts.append(normal(text.as_py()))
+                learns.append(learn)
+                held += len(texts[-1])
+                if held > BLOCK:
+                    absorb()
+    if now is not None:
+        yield from chunk_of(now)
+
+
+def scores(texts: pa.Table, values: pa.Table, train_tokens: int, train_words: int) -> tuple[np.ndarray, ...]:
+    """(n_tokens, n_known, base_score, score, n_bytes) of a chunk's texts, given the numbers of its strings and words."""
+    is_word = values.column("word").is_valid()
+    words = values.filter(is_word)
+    spelt, seen = words.column("word").combine_chunks(), words.column("value").to_numpy()
+    rest = values.filter(pc.invert(is_word))
+    strings = rest.column("string").to_numpy().view(np.uint64)
     order = np.argsort(strings)
-    strings, logs = strings[order], number[~is_word][order]
+    strings, logs = strings[order], rest.column("value").to_numpy()[order]
     whole = np.log10(train_tokens + train_words + 1)
-    columns: tuple[list, ...] = ([], [], [], [])
-    held: list[bytes] = []
-
-    def absorb() -> None:
-        for first, stop in blocks(held):
-            found, sizes = byte_strings(held[first:stop])
-            each = logs[np.searchsorted(strings, found)]
-            columns[3].extend(np.add.reduceat(each, np.cumsum(sizes) - sizes).tolist())
-        held.clear()
-
-    size = 0
-    for text in texts.column("text"):
-        tokens, data = normal(text.as_py())
-        tokens.append(END)
-        n = np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
-        columns[0].append(len(tokens))
-        columns[1].append(int((n > 0).sum()))
-        columns[2].append(float(np.log10(n + 1).sum() - len(tokens) * whole))
-        held.append(data)
-        size += len(data)
-        if size > BLOCK:
-            absorb()
-            size = 0
-    absorb()
-    return columns
+    end = seen[pc.index_in(pa.scalar(END.decode()), spelt).as_py()]
+    parts: list[tuple[np.ndarray, ...]] = []
+    for batch in texts.select(["text"]).to_batches(TEXTS_AT_ONCE):
+        tokens, n = tokens_of(batch.column(0))
+        count = seen[pc.index_in(tokens, spelt).to_numpy()] if len(tokens) else np.empty(0)
+        owner = np.repeat(np.arange(len(n)), n)
+        known = np.bincount(owner, count > 0, len(n)).astype(np.int64) + int(end > 0)
+        base = np.bincount(owner, np.log10(count + 1), len(n)) + np.log10(end + 1) - (n + 1) * whole
+        data = [normal(text.as_py()) for text in batch.column(0)]
+        own = []
+        for first, stop in blocks(data):
+            found, sizes = byte_strings(data[first:stop])
+            own.append(np.add.reduceat(logs[np.searchsorted(strings, found)], np.cumsum(sizes) - sizes))
+        parts.append((n + 1, known, base, np.concatenate(own), np.fromiter(map(len, data), np.int64, len(data))))
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
 # --- the job ------------------------------------------------------------------------------------------------
@@ -291,11 +326,12 @@ def model(strings: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
+    """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``.
 
     ``learn_from`` is a condition on ``doc_id`` that marks the rows to learn from; null counts as false. A null
     text counts as empty: one token, the end. ``score`` is the model's log10 probability of the text's tokens,
-    the end included; ``base_score`` that of the unigrams with one added to each count. Null ids and repeated
+    the end included, and ``bits_per_byte`` its code length for each byte of them; ``base_score`` is that of the
+    unigrams with one added to each count. Null ids and repeated
     rows count as rows of their own. Without rows to learn from every bit has the chance one half. An empty
     table gives an empty result.
     """
@@ -304,32 +340,33 @@ def score(docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str
     chunks = 1 + characters // CHUNK_CHARS
     learn = F.coalesce(learn_from, F.lit(False))
     dealt = slim.select("doc_id", "text", learn.alias("learn"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
-    counted = dealt.select("chunk", "text", "learn").groupBy("chunk").applyInArrow(chunk_counts, "chunk int, string long, word binary, n long")
-    counted = stored(counted, "ctw-counts", "zstd")
+    by_chunk = dealt.select("chunk", "text", "learn").repartition(int(chunks), "chunk").sortWithinPartitions("chunk")
+    counted = stored(by_chunk.mapInArrow(chunk_counts, "chunk int, string long, word string, n long"), "ctw-counts", "zstd")
     strings = stored(counted.where("word is null").groupBy("string").agg(F.sum("n").alias("n")), "ctw-strings", "zstd")
     words = stored(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("value")), "ctw-words", "zstd")
     totals = words.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("tokens"), F.count_if(F.col("value") > 0).alias("words")).first()
     valued = stored(model(strings), "ctw-values", "zstd")
     forget(strings)
-    of_strings = counted.where("word is null").join(valued, "string").select("chunk", "string", F.lit(None).cast("binary").alias("word"), "value")
+    of_strings = counted.where("word is null").join(valued, "string").select("chunk", "string", F.lit(None).cast("string").alias("word"), "value")
     of_words = counted.where("word is not null").drop("n", "string").join(words, "word")
     of_words = of_words.select("chunk", F.lit(None).cast("long").alias("string"), "word", F.col("value").cast("double").alias("value"))
     train_tokens, train_words = totals["tokens"], totals["words"]
 
     def of(texts: pa.Table, values: pa.Table) -> pa.Table:
-        n_tokens, n_known, base, own = scores(texts, values, train_tokens, train_words)
+        n_tokens, n_known, base, own, n_bytes = scores(texts, values, train_tokens, train_words)
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),
                 "learn": texts.column("learn"),
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "train_tokens": pa.array([train_tokens] * len(n_tokens), pa.int64()),
-                "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(own, pa.float64()),
+                "n_tokens": n_tokens,
+                "n_known": n_known,
+                "train_tokens": np.full(len(n_tokens), train_tokens, np.int64),
+                "base_score": base,
+                "score": own,
+                "bits_per_byte": -own * np.log2(10) / n_bytes,
             }
         )
 
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {id_type}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("chunk").cogroup(of_strings.union(of_words).groupBy("chunk")).applyInArrow(of, schema)

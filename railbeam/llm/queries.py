@@ -51,7 +51,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ctw.score(_table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 7) != 2)
-    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
