@@ -1,10 +1,15 @@
 """HTML extraction (operator 5): line-block distribution.
 
-A page becomes lines, one for each block of its markup. Lines of elements that never hold an article (menus,
-forms, scripts and the like, by name, role or class) weigh nothing, and text inside links doesn't count. The
-weight of a window is the text length summed over a few lines. Where the sum rises from nothing to a surge, a
-run of text begins; where it falls to nothing, at the dive, it ends. The run with the most text is the article,
-with every other run that has at least a share of it.
+A page becomes lines, one for each block of its markup, without the elements that never hold an article (menus,
+forms, scripts and the like, by name, role or class); a left-out element is one empty line. The weight of a line is
+its text length; text of links counts little inside an article and nothing elsewhere.
+
+* Sums of weights over a sliding window of lines give the distribution of the page's text. The threshold between
+  text and the rest is fitted to the page: a share of the mean window sum, weighted by the sums themselves.
+* A run of text surges at the first line whose windows (the one that ends there and the one that begins there) both
+  hold more than the threshold, and it dives at the last such line. Headings just before a surge belong to the run.
+* Runs are joined over what lies between them inside one container, and a run inside an ``article`` or ``main`` takes
+  all lines of it, so nothing is cut at its ends. Lines outside runs and their articles are furniture.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +25,10 @@ from pyspark.sql import DataFrame
 
 from railbeam.llm.common import renamed
 
-#: Lines of a window, the empty lines that a page's menus, headers and footers leave, and the share of the
-#: largest run that another needs. Whatever else is left out leaves one empty line, so it ends no run.
-WINDOW, GAP, SHARE = 3, 4, 0.25
+#: Lines of a window, and the share of the page's mean window sum that a line of text needs around it.
+WINDOW, SHARE = 3, 0.2
+#: What a character of link text weighs inside an article.
+LINKED = 0.25
 
 _TAG = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<raw>script|style|textarea|title|xmp|iframe|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -38,8 +45,6 @@ BLOCKS = frozenset(
 )
 #: Elements whose content is no article text.
 DROPPED = frozenset("head nav aside footer form noscript template svg canvas button select option object embed audio video map menu dialog".split())
-#: Those of them that stand before and after an article, where a run of text ends.
-EDGES = frozenset(("nav", "header", "footer"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark furniture, notices, adverts and reader comments.
 _FURNITURE = re.compile(
@@ -50,6 +55,15 @@ _FURNITURE = re.compile(
     re.IGNORECASE,
 )
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body)(?=$|[\s_-])", re.IGNORECASE)
+#: Whole class words that mark the same on a paragraph, heading or list inside an article, where parts of a word don't.
+_STRICT = frozenset(
+    "ad ads advert advertisement sponsor sponsored promo promotion banner cookie cookies consent newsletter subscribe signup login popup modal "
+    "overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar comment comments disqus related share sharing social widget pagination hidden".split()
+)
+#: Elements that hold other blocks, so that their class says what all of them are.
+CONTAINERS = frozenset("article aside center dd details dialog div dl fieldset figure li main menu nav ol section table tbody td tr ul".split())
+_ARTICLES = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
@@ -57,7 +71,7 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
         return True
     if name == "header":
         return not inside
-    if name in ("html", "body", "main", "article", "h1") or not attributes.strip():
+    if name in ("html", "body", "main", "h1") or not attributes.strip():
         return False
     marks = []
     for m in _ATTRIBUTE.finditer(attributes):
@@ -70,25 +84,48 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
         elif key in ("class", "id", "role"):
             marks.append(value)
     text = " ".join(marks)
-    return bool(text) and bool(_FURNITURE.search(text)) and not (_CONTENT.search(text) and name in ("section", "div"))
+    if not text:
+        return False
+    if name == "article":
+        return bool(re.search(r"(?:^|[\s_-])comment", text, re.IGNORECASE))
+    if inside and name not in ("div", "section"):
+        return not _STRICT.isdisjoint(text.lower().split())
+    return bool(_FURNITURE.search(text)) and not (_CONTENT.search(text) and name in ("section", "div"))
+
+
+class Line(NamedTuple):
+    """A block's text and weight; the article (0: none) and the container it lies in, by number."""
+
+    text: str
+    weight: float
+    article: int = 0
+    container: int = 0
+    heading: bool = False
 
 
-def lines(html: str) -> list[tuple[str, int]]:
-    """(text, weight) of each block of a page, with empty lines where an element was left out."""
-    found: list[tuple[str, int]] = []
+def lines(html: str) -> list[Line]:
+    """The blocks of a page, with one empty line where an element was left out."""
+    found: list[Line] = []
     parts: list[str] = []
-    linked = 0
+    linked = numbers = 0
+    heading = False
+    open_ones: list[tuple[str, int]] = []  # containers around the place: (name, number)
+
+    def innermost(names: frozenset[str]) -> int:
+        return next((number for name, number in reversed(open_ones) if name in names), 0)
 
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                found.append((text, max(0, len(text) - linked)))
+                article = innermost(_ARTICLES)
+                weight = len(text) - min(len(text), linked) * (1 - LINKED if article else 1)
+                found.append(Line(text, weight, article, innermost(CONTAINERS), heading))
             parts.clear()
         linked = 0
 
-    skip, depth, links, inside, at = "", 0, 0, 0, 0
+    skip, depth, links, at = "", 0, 0, 0
     for m in _TAG.finditer(html):
         if not skip and m.start() > at:
             parts.append(html[at : m.start()])
@@ -102,56 +139,79 @@ def lines(html: str) -> list[tuple[str, int]]:
         if skip:
             if name == skip and not m["attributes"].endswith("/"):
                 depth += -1 if closing else 1
-            leaves = depth == 0 or (name in ("article", "main", "body") and not closing and skip != "template") or (closing and name in ("body", "html"))
+            leaves = depth == 0 or (name in ("article", "main", "body") and not closing and skip not in ("template", name)) or (closing and name in ("body", "html"))
             if not leaves:
                 continue
             skip, depth = "", 0
             if closing:
                 continue
-        if not closing and _is_furniture(name, m["attributes"], inside > 0):
+        if not closing and _is_furniture(name, m["attributes"], bool(innermost(_ARTICLES))):
             end_line()
-            found.extend([("", 0)] * (GAP if name in EDGES and not inside else 1))
+            found.append(Line("", 0, innermost(_ARTICLES), innermost(CONTAINERS)))
             if name not in VOID and not m["attributes"].endswith("/"):
                 skip, depth = name, 1
             continue
-        if name in ("article", "main"):
-            inside = max(0, inside + (-1 if closing else 1))
         if name == "a":
             links = max(0, links + (-1 if closing else 1))
         elif name in BLOCKS:
             end_line()
-            links = 0
+            links, heading = 0, name in HEADINGS and not closing
         elif name == "br":
             parts.append(" ")
+        if name in CONTAINERS and name not in ("li", "tr", "tbody", "dd"):
+            if not closing:
+                numbers += 1
+                open_ones.append((name, numbers))
+            else:
+                place = next((i for i in range(len(open_ones) - 1, -1, -1) if open_ones[i][0] == name), None)
+                if place is not None:
+                    del open_ones[place:]
     if not skip and at < len(html):
         parts.append(html[at:])
     end_line()
     return found
 
 
-def runs(weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, text length) of each run between a surge and its dive."""
+def threshold(sums: np.ndarray) -> float:
+    """What a window of text holds at least: a share of the mean of the page's window sums, each weighted by itself."""
+    return SHARE * float((sums * sums).sum() / sums.sum()) if sums.any() else 0.0
+
+
+def runs(weights: np.ndarray) -> list[tuple[int, int]]:
+    """(line of the surge, line after the dive) of each run of text."""
     if not len(weights):
         return []
-    blocks = np.convolve(weights, np.ones(WINDOW, np.int64))  # block k sums the lines k - WINDOW + 1 to k
-    alive = np.concatenate(([False], blocks > 0, [False]))
-    edges = np.nonzero(alive[1:] != alive[:-1])[0]
-    found = []
-    for surge, dive in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        stop = min(len(weights), dive - WINDOW + 1)  # the dive comes after as many empty lines
-        found.append((surge, stop, int(weights[surge:stop].sum())))
-    return found
+    sums = np.convolve(weights, np.ones(WINDOW))  # sum k is that of the lines k - WINDOW + 1 to k
+    around = np.minimum(sums[: len(weights)], sums[WINDOW - 1 :])
+    # Sums of fractions are compared with some room, so that their order of addition doesn't matter.
+    dense = np.concatenate(([False], (around >= threshold(sums) - 1e-6) & (around > 0), [False]))
+    edges = np.nonzero(dense[1:] != dense[:-1])[0]
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def main_lines(page: list[Line]) -> list[int]:
+    """The places of the article's lines: runs with their headings, joined inside containers, widened to articles."""
+    found = runs(np.array([line.weight for line in page], np.float64))
+    if any(page[k].article for first, stop in found for k in range(first, stop)):
+        # The page names its articles: those that hold a run are the text, whole.
+        named = {page[k].article for first, stop in found for k in range(first, stop) if page[k].article}
+        return [k for k, line in enumerate(page) if line.article in named]
+    kept = set()
+    for i, (first, stop) in enumerate(found):
+        while first and page[first - 1].heading:
+            first -= 1
+        if i:
+            before = found[i - 1][1]
+            shared = {page[k].container for k in range(*found[i - 1])} & {page[k].container for k in range(first, stop)} - {0}
+            first = before if shared else first
+        kept.update(range(first, stop))
+    return sorted(kept)
 
 
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by line feeds; empty if there is none."""
-    kept = lines(html or "")
-    found = runs(np.array([weight for _, weight in kept], np.int64))
-    if not found:
-        return ""
-    most = max(weight for _, _, weight in found)
-    chosen = [text for first, stop, weight in found if weight >= SHARE * most for text, _ in kept[first:stop] if text]
-    return "\n".join(chosen)
+    page = lines(html or "")
+    return "\n".join(page[k].text for k in main_lines(page) if page[k].text)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
