@@ -1,14 +1,14 @@
 """Secret scans (operator 7): three patterns, and dictionary-primed zstandard novelty.
 
-The novelty scan looks at strings of key characters that follow a sensitive word. Each is compressed with a raw
+The novelty scan looks at strings of key characters on either side of a sensitive word, and at whole private keys. Each is compressed with a raw
 dictionary of common identifiers and of the text around it (its own copies taken out): the bytes that it adds
 are what this context can't explain. Strings that stay incompressible are reported.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,9 +32,16 @@ SENSITIVE = (
     *("access_key", "access key", "private_key", "private key", "credential", "authorization", "bearer", "client_id", "signature"),
 )
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE)
-#: A candidate begins at most so many characters after the sensitive word; the context has so many on each side.
+#: Characters between a candidate and a sensitive word at most, and of the context on each side.
 REACH, CONTEXT = 48, 400
+MIN_LENGTH = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: What may lie between a reported string and the next one of the same secret, and how much of it.
+CHAIN, _ESCAPE = 8, re.compile(r"\\[nrt]")
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(.*?)(?:-----END |\Z)", re.DOTALL)
+_KEY_LINE = re.compile(r"(?<![A-Za-z0-9+/=\\-])[A-Za-z0-9+/]{4,}={0,2}(?![A-Za-z0-9:-])|(?<=\\n)[A-Za-z0-9+/]{4,}={0,2}")
+#: Characters of a string that are compressed at a time.
+NOVELTY_BLOCK = 512
 #: Bytes that a candidate must add for each of its characters.
 MIN_NOVELTY = 0.7
 #: What source code is full of; the compressor gets it as a dictionary.
@@ -68,27 +75,64 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(compressor.compress(own)) - len(compressor.compress(b""))
 
 
+def is_novel(value: str, around: str) -> bool:
+    """Whether some block of the string stays incompressible; a string is read whole, block by block."""
+    bounds = list(range(0, max(1, len(value) - MIN_LENGTH + 1), NOVELTY_BLOCK))
+    ends = [*bounds[1:], len(value)]
+    return any(marginal_bytes(value[a:b], around) >= MIN_NOVELTY * (b - a) for a, b in zip(bounds, ends, strict=True))
+
+
+def _key_like(value: str) -> bool:
+    """Letters with digits, or letters whose case changes more often than in words and names."""
+    letters = [c for c in value if c.isalpha()]
+    changes = sum(a.islower() and b.isupper() for a, b in zip(letters, letters[1:], strict=False))
+    return bool(letters) and (any(c.isdigit() for c in value) or changes >= len(letters) // 8 + 1)
+
+
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """All lines of the private keys whose text, as a whole, is incompressible."""
+    found = []
+    for block in _KEY_BLOCK.finditer(text):
+        pieces = [m.span() for m in _KEY_LINE.finditer(text, block.start(1), block.end(1))]
+        whole = "".join(text[a:b] for a, b in pieces)
+        if len(whole) >= MIN_LENGTH and is_novel(whole, ""):
+            found += pieces
+    return found
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible strings after a sensitive word that no pattern has."""
+    """Incompressible strings beside a sensitive word that no pattern has.
+
+    A string is beside a word if at most ``REACH`` characters lie between them, on either side, or if nothing but
+    a line end, quotes and the like lies between it and a string that was reported.
+    """
     low = text.lower()
     if not any(word in low for word in SENSITIVE):
         return []
-    found, past = [], -1
-    for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 512)):
-            start, end = m.span()
-            if start - word.end() > REACH:
-                break
-            # A string cut off by the window is read to its end.
-            end = _CANDIDATE.match(text, start).end()
-            if start < past or any(a < end and start < b for a, _, b in taken):
-                continue
-            past = end
-            value = text[start:end]
-            mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-            if mixed and marginal_bytes(value[:4096], text[max(0, start - CONTEXT) : end + CONTEXT]) >= MIN_NOVELTY * min(len(value), 4096):
-                found.append((start, 3, end))
-    return found
+    found = [(a, b) for a, b in key_blocks(text) if not any(x < b and a < y for x, _, y in taken)]
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    known = sorted([(a, b) for a, _, b in taken] + found)
+    starts, after, before, last = [a for a, _ in words], 0, -1, -1
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        after = bisect_left(starts, end, after)
+        at = after - 1
+        while at >= 0 and words[at][1] > start:  # words inside the string
+            at -= 1
+        before = words[at][1] if at >= 0 else -1
+        near = (before >= 0 and start - before <= REACH) or (after < len(words) and words[after][0] - end <= REACH)
+        chained = last >= 0 and start - last <= CHAIN and not any(c.isalnum() for c in _ESCAPE.sub("", text[last:start]))
+        if not (near or chained):
+            continue
+        place = bisect_left(known, (end,))
+        if place and known[place - 1][1] > start:
+            last = end if chained else last
+            continue
+        value = text[start:end]
+        if _key_like(value) and is_novel(value, text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]):
+            found.append((start, end))
+            last = end
+    return sorted((a, 3, b) for a, b in found)
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -130,4 +174,5 @@ def digests(scanned: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["base"])
-    return scanned.select("doc_id", *map(count, KINDS), F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"))
+    columns = [F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans")]
+    return scanned.select("doc_id", *map(count, KINDS[:3]), *columns, count(KINDS[3]))
