@@ -2,7 +2,7 @@
 
 The benchmark is the stated query set. It is taken in blocks of about ``BLOCK_WORDS`` words, so what a task gets
 of it has a bound; every block meets all documents. A first pass counts in how many documents each seed (three
-words of an item) occurs. A seed is rare for an item if it occurs in at most ``RARE_FLOOR`` documents more than
+words of an item, the last of them perhaps one place further on) occurs. A seed is rare for an item if it occurs in at most ``RARE_FLOOR`` documents more than
 ``RARE_FACTOR`` times the item's median seed: a bound that moves with the item, so that an item copied into very
 many documents keeps most of its seeds. In the second pass rare seeds mark windows of a document, and the item
 is aligned with each of them; no pair of a document and an item is formed without a seed, and no text is moved.
@@ -48,41 +48,58 @@ class Block:
     keys: np.ndarray = field(default=None)  # distinct seed keys, sorted
     owners: list[list[tuple[int, int]]] = field(default=None)  # for each key: (item, place in it)
     rare: list[list[tuple[int, int]]] = field(default=None)
+    sizes: list[int] = field(default_factory=list)  # of the seeds, in words
 
 
 def seed_keys(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, key) of each run of ``n`` known words; unknown words are negative."""
-    count = len(words) - n + 1
-    if count <= 0:
+    """(place, key) of each seed of ``n`` known words: a run, or a run whose last word stands one place further on.
+
+    An inserted, replaced or missing word turns the one kind into the other or leaves a seed of the second kind whole,
+    so copies edited at every third word keep seeds. Unknown words are negative.
+    """
+    places, keys = [], []
+    for gap in (0, 1) if n > 2 else (0,):
+        count = len(words) - n + 1 - gap
+        if count <= 0:
+            break
+        known, key = np.ones(count, bool), np.zeros(count, np.uint64)
+        for k in (*range(n - 1), n - 1 + gap):
+            part = words[k : count + k]
+            known &= part >= 0
+            key = key * _BASE + (part + 1).astype(np.uint64)
+        own = np.nonzero(known)[0]
+        places.append(own)
+        keys.append(key[own])
+    if not keys:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    known, key = np.ones(count, bool), np.zeros(count, np.uint64)
-    for k in range(n):
-        part = words[k : count + k]
-        known &= part >= 0
-        key = key * _BASE + (part + 1).astype(np.uint64)
-    places = np.nonzero(known)[0]
-    return places, key[places]
+    return np.concatenate(places), np.concatenate(keys)
 
 
 def block_of(items: list[tuple], seed_words: int) -> Block:
+    """Items with fewer words than a seed are seeds themselves."""
     vocabulary: dict[str, int] = {}
     words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens(text)], np.int64) for _, text in items]
     owners: dict[int, list[tuple[int, int]]] = {}
+    sizes = set()
     for item, own in enumerate(words):
-        for place, key in zip(*map(np.ndarray.tolist, seed_keys(own, seed_words)), strict=True):
-            owners.setdefault(key, []).append((item, place))
+        size = min(seed_words, len(own))
+        if size:
+            sizes.add(size)
+            for place, key in zip(*map(np.ndarray.tolist, seed_keys(own, size)), strict=True):
+                owners.setdefault(key, []).append((item, place))
     keys = np.array(sorted(owners), np.uint64)
-    return Block([i for i, _ in items], words, vocabulary, keys, [owners[k] for k in keys.tolist()])
+    return Block([i for i, _ in items], words, vocabulary, keys, [owners[k] for k in keys.tolist()], sizes=sorted(sizes))
 
 
 def numbered(block: Block, words: list[str]) -> np.ndarray:
     return np.fromiter(map(block.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
 
-def seeds_in(block: Block, numbers: np.ndarray, seed_words: int) -> tuple[np.ndarray, np.ndarray]:
+def seeds_in(block: Block, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the document, index of the seed) of every seed that occurs."""
-    places, keys = seed_keys(numbers, seed_words)
-    if not len(keys) or not len(block.keys):
+    found = [seed_keys(numbers, size) for size in block.sizes]
+    places, keys = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
+    if not len(keys):
         return places[:0], np.empty(0, np.int64)
     at = np.minimum(np.searchsorted(block.keys, keys), len(block.keys) - 1)
     hit = block.keys[at] == keys
@@ -128,11 +145,11 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def matches(block: Block, text: str | None, seed_words: int, min_score: float) -> list[tuple]:
+def matches(block: Block, text: str | None, min_score: float) -> list[tuple]:
     """(item id, score, start, end) of the items found in a text; offsets in code points, end exclusive."""
     words = tokens(text)
     numbers = numbered(block, words)
-    places, seeds = seeds_in(block, numbers, seed_words)
+    places, seeds = seeds_in(block, numbers)
     windows: dict[int, list[tuple[int, int]]] = {}
     for place, seed in zip(places.tolist(), seeds.tolist(), strict=True):
         for item, at in block.rare[seed]:
@@ -161,7 +178,7 @@ def matches(block: Block, text: str | None, seed_words: int, min_score: float) -
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
     """The items block by block; each block has about ``BLOCK_WORDS`` words."""
-    items = renamed(benchmark, item_id=item_id, text=text).where("text is not null")
+    items = renamed(benchmark, item_id=item_id, text=text).where("text is not null").distinct()
     characters = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + characters // (5 * BLOCK_WORDS)
     for block in range(blocks):
@@ -184,7 +201,7 @@ def contaminated(
     """(doc_id, item_id, score, start, end) for each row of ``docs`` and each item that it contains a copy of.
 
     ``score`` is the best alignment's share of an exact copy's score, and the span is that alignment's. Null,
-    empty and blank texts match nothing; neither do items with fewer words than a seed. Rows with null ids and
+    empty and blank texts match nothing. Repeated items count once. Rows with null ids and
     repeated rows are matched like any other, each for itself. Empty tables give an empty result.
     """
     slim = renamed(docs, doc_id=doc_id, text=text)
@@ -193,17 +210,17 @@ def contaminated(
     schema = f"doc_id {id_type}, item_id {item_type}, score double, start int, end int"
     found = None
     for items in _blocks(benchmark, item_id, item_text):
-        part = _one_block(slim, block_of(items, seed_words), schema, seed_words, min_score, rare_floor, rare_factor)
+        part = _one_block(slim, block_of(items, seed_words), schema, min_score, rare_floor, rare_factor)
         found = part if found is None else found.union(part)
     return found
 
 
-def _one_block(slim: DataFrame, block: Block, schema: str, seed_words: int, min_score: float, floor: int, factor: float) -> DataFrame:
+def _one_block(slim: DataFrame, block: Block, schema: str, min_score: float, floor: int, factor: float) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         documents = np.zeros(len(block.keys), np.int64)
         for batch in batches:
             for value in batch.column(0):
-                documents[np.unique(seeds_in(block, numbered(block, tokens(value.as_py())), seed_words)[1])] += 1
+                documents[np.unique(seeds_in(block, numbered(block, tokens(value.as_py())))[1])] += 1
         seen = np.nonzero(documents)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(documents[seen])], ["seed", "n"])
 
@@ -216,7 +233,7 @@ def _one_block(slim: DataFrame, block: Block, schema: str, seed_words: int, min_
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(row, *m) for row, value in enumerate(batch.column(1)) for m in matches(block, value.as_py(), seed_words, min_score)]
+            found = [(row, *m) for row, value in enumerate(batch.column(1)) for m in matches(block, value.as_py(), min_score)]
             rows = pa.array([f[0] for f in found], pa.int64())
             columns = [pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], ["doc_id", "item_id", "score", "start", "end"])
