@@ -3,15 +3,15 @@
 A text's features are the hashes of its byte n-grams in lower case. Their embeddings are averaged and mapped to
 one score per language; both tables are trained by stochastic gradient descent in numpy on a bounded sample of
 labelled texts. As everything before the softmax is linear, scoring adds up one row of class scores per n-gram.
-A temperature fitted on texts that training left out calibrates the probabilities, and texts whose best
-probability is below the fitted threshold are rejected.
+A temperature fitted on texts that training left out calibrates the probabilities. Texts whose best probability is
+below a threshold are rejected; it is fitted on the texts left out and on garbled ones.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,10 @@ ORDERS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 15, 16
 #: The sample for training: texts per language, and characters of each (a window at a hashed place).
 PER_LANGUAGE, SAMPLE_CHARS = 1500, 3000
 BLOCK = 1 << 19
+#: Shares of left-out texts: of rightly predicted ones that the threshold may reject, of garbled ones that it should.
+RIGHT_LOST, NOISE_REJECTED = 0.0005, 0.95
+#: Languages that a model can learn: the most frequent ones.
+MOST_LANGUAGES = 500
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint32(2654435761)
 
@@ -41,7 +45,7 @@ class Model:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def buckets(data: np.ndarray) -> list[np.ndarray]:
@@ -100,9 +104,16 @@ def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.
     temperature = min(np.geomspace(0.05, 20, 200), key=lambda t: _loss(raw / t, truth))
     best = _softmax(raw / temperature)
     right = best.max(axis=1)[best.argmax(axis=1) == truth]
-    low = float(np.quantile(right, 0.001)) if len(right) else 0.0
-    # Never above one half, so that a text whose language is likelier than not is kept.
-    return Model(languages, table, bias, float(temperature), min(low, 0.5))
+    model = Model(languages, table, bias, float(temperature), 0.0)
+    # As low as noise allows, and never so high that more than a few of the right predictions go.
+    noise = [predict(model, _garbled(text, rng))[1] for i, text in enumerate(texts) if i % 5 == 4]
+    limits = [float(np.quantile(right, RIGHT_LOST)) if len(right) else 0.0, float(np.quantile(noise, NOISE_REJECTED)) if noise else 0.0]
+    return replace(model, reject_below=min(limits))
+
+
+def _garbled(text: str, rng: np.random.Generator) -> str:
+    """A text of another kind: letters at random in words of the same lengths."""
+    return "".join(chr(97 + int(k)) if c.isalpha() else c for c, k in zip(text, rng.integers(0, 26, len(text)), strict=True))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -135,13 +146,14 @@ def fit(docs: DataFrame, learn_from: Column, doc_id: str, text: str, lang: str,
     """Train on at most about ``per_language`` texts of each language, chosen by the hash of their ids."""
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
     known = renamed(docs.where(learn_from), doc_id=doc_id, text=text, lang=lang).where("lang is not null and text is not null")
-    sizes = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = {row["lang"]: row["n"] for row in counts.collect()}
     if not sizes:
         return Model([], np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_language / n) * 1_000_003)])
     start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1
     part = F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS))
-    sample = known.where(place < F.element_at(share, F.col("lang"))).select("lang", part.alias("part"), place.alias("place")).collect()
+    sample = known.where(place < F.try_element_at(share, F.col("lang"))).select("lang", part.alias("part"), place.alias("place")).collect()
     sample = sorted((row for row in sample if has_letter(row["part"])), key=lambda row: (row["place"], row["part"]))
     return train([row["part"] for row in sample], [row["lang"] for row in sample]) if sample else fit(docs.limit(0), learn_from, doc_id, text, lang)
 
