@@ -138,7 +138,7 @@ def mix(
     weights: Sequence[float] = (5, 2, 1),
     max_copies: int = 3,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for every row of ``docs``; ``taken`` is copies times size.
+    """(doc_id, size, source_size, target, taken, copies) for every row of ``docs``; ``taken`` is copies times size.
 
     A null, empty or blank text has size 0 and one copy, which takes no words. A null source is a source of its
     own. Rows with a null doc_id and repeated rows each count as a document. An empty table gives an empty
@@ -165,7 +165,7 @@ def mix(
     ranked = met.withColumn("within", rank).join(before, ["place", "size", "bucket"])
     extra = (F.col("before") + F.col("within") < F.col("copies") % F.col("n")).cast("long")
     each = F.floor(F.col("copies") / F.col("n")) + extra
-    return ranked.select("doc_id", "size", "source_size", "target", each.alias("copies"), (each * F.col("size")).alias("taken"))
+    return ranked.select("doc_id", "size", "source_size", "target", (each * F.col("size")).alias("taken"), each.alias("copies"))
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -173,7 +173,7 @@ def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataF
 
     Rows that share an id are each taken as often as the mix takes the most of them.
     """
-    times = mixed.groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("doc_id", "_mixed_id")
-    joined = docs.join(times, docs[doc_id] == times["_mixed_id"], "left").withColumn("_copies", F.when(docs[doc_id].isNull(), 1).otherwise(F.col("_copies")))
-    taken = joined.where("_copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select(docs.columns)
+    times = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("times"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.struct(*docs.columns).alias("row"))
+    known = rows.join(times, "id").where("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    return known.select("row.*").unionByName(rows.where("id is null").select("row.*"))
