@@ -3,10 +3,8 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. ``run`` applies them to the documents table.
 
-A stage decides about rows by their doc_id where its operator reports ids. Rows that share a doc_id then share
-the decision; rows with a null doc_id can't be told apart and stay, but for the language stage, which rejects
-rows one by one, and the mixture, which can't repeat what has no id and leaves them as they are. Empty tables
-pass through as empty tables, and columns beyond those of documents are kept but for the last stage.
+Stages decide row by row: rows that share a doc_id, or have none, are told apart by their texts and other columns.
+Empty tables pass through as empty tables, and columns beyond those of documents are kept but for the last stage.
 """
 
 from __future__ import annotations
@@ -32,23 +30,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, model)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, text, source, row): rows that differ in anything have keys of their own, ordered by doc_id, null last."""
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.sha2("text", 256).alias("text"), F.xxhash64(*docs.columns).alias("rest"))
+    return docs.select(key.alias("key"), "text", "source", F.struct(*docs.columns).alias("row"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; of rows that repeat it, the first by text."""
-    groups = simhash.near_duplicates(docs, shingle_words=3, max_bits=2)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """One row of each group stays: that with the smallest doc_id, and of different rows with it the smallest text hash."""
+    rows = _keyed(docs)
+    groups = simhash.near_duplicates(rows, doc_id="key", shingle_words=3, max_bits=2)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark passage, exact or edited, go."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = _keyed(docs)
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key")
+    return rows.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them: some not at all, none over three times."""
-    return mixing.repeated(docs, mixing.mix(docs, weights=(5, 2, 1), max_copies=3))
+    rows = _keyed(docs)
+    return mixing.repeated(rows, mixing.mix(rows, doc_id="key", weights=(5, 2, 1), max_copies=3), doc_id="key").select("row.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
