@@ -33,9 +33,9 @@ from railbeam.llm.common import forget, packed_words, renamed, stored
 DEPTH, UPPER = 5, 2
 #: The end of a text, as a token and as a byte; texts begin after as many ends as the tree is deep.
 END = b"\n"
-CHUNK_CHARS, STRINGS_PER_PART, BLOCK = 28_000_000, 500_000, 1 << 21
+CHUNK_CHARS, STRINGS_PER_PART, BLOCK = 28_000_000, 500_000, 1 << 19
 #: Texts whose words are cut at a time, and rows of a batch that leaves a task.
-TEXTS_AT_ONCE, OUT_ROWS = 512, 1 << 16
+TEXTS_AT_ONCE, OUT_ROWS = 1024, 1 << 16
 _COUNTED = ["chunk", "string", "word", "n"]
 LN2 = np.log(2.0)
 
@@ -196,18 +196,22 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     learns: list[bool] = []
     words: list[pa.Table] = []
     keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []  # sums of blocks that are not yet part of the above
     held = 0
 
-    def absorb() -> None:
+    def absorb(last: bool = False) -> None:
         nonlocal keys, counts, held
         for learn in (True, False):
             part = [t for t, x in zip(texts, learns, strict=True) if x is learn]
             if part:
                 own, n = np.unique(byte_strings(part)[0], return_counts=True)
-                keys, counts = _summed(np.concatenate((keys, own)), np.concatenate((counts, n if learn else np.zeros(len(own), np.int64))))
+                waiting.append((own, n if learn else np.zeros(len(own), np.int64)))
         texts.clear()
         learns.clear()
         held = 0
+        if waiting and (last or sum(len(own) for own, _ in waiting) > max(len(keys) // 2, BLOCK)):
+            keys, counts = _summed(*(np.concatenate(x) for x in zip((keys, counts), *waiting, strict=True)))
+            waiting.clear()
 
     def add_words(rows: pa.RecordBatch) -> None:
         for learn in (True, False):
@@ -226,7 +230,7 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def chunk_of(chunk: int) -> Iterator[pa.RecordBatch]:
         nonlocal keys, counts
-        absorb()
+        absorb(last=True)
         for at in range(0, len(keys), OUT_ROWS):
             own = keys[at : at + OUT_ROWS]
             columns = [np.full(len(own), chunk, np.int32), own.view(np.int64), pa.nulls(len(own), pa.string()), counts[at : at + OUT_ROWS]]
@@ -264,6 +268,7 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scores(texts: pa.Table, values: pa.Table, train_tokens: int, train_words: int) -> tuple[np.ndarray, ...]:
     """(n_tokens, n_known, base_score, score, n_bytes) of a chunk's texts, given the numbers of its strings and words."""
+    pa.default_memory_pool().release_unused()
     is_word = values.column("word").is_valid()
     words = values.filter(is_word)
     spelt, seen = words.column("word").combine_chunks(), words.column("value").to_numpy()
