@@ -73,6 +73,8 @@ TABLES: dict[str, str] = {
            service_code string, from_stanox_code string, from_crs string, departure_time string,
            to_stanox_code string, to_crs string, arrival_time string, days_run_pattern string,
            subscribe_timestamp timestamp""",
+    "watched_stops": """subscriber_id string, user_id string, email string, schedule_train_id string,
+           service_code string, stanox_code string""",
     "rejects": "seq string, kind string, reject_reason string, value string",
 }
 

@@ -10,26 +10,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from railbeam.constants import ACTIVATION_TTL_MS, DEFAULT_SALTS, LATE_THRESHOLD_MS
-from railbeam.operators.notices import cancellation_notices, change_of_origin_notices, movement_notices
-from railbeam.plans.enrich import logs_of
-from railbeam.schemas import TABLES
+from railbeam.operators.notices import (
+    cancellation_notices,
+    change_of_origin_notices,
+    is_notifiable,
+    movement_notices_by_view,
+)
+from railbeam.plans.enrich import Logs, logs_of
+from railbeam.plans.load import watched_of
+from railbeam.sources.commits import latest
 from railbeam.sources.messages import (
     explode_messages,
     message_rejects,
     parse_messages,
     route_counts_per_minute,
 )
-from railbeam.sources.snapshots import current_versions, read_table, write_log_batch
+from railbeam.sources.snapshots import read_table, touched_buckets, write_log_batch
 from railbeam.streaming.activation_state import enrich_stream
 
 
+def batch_notices(spark: SparkSession, root: str, made: Logs, threshold_ms: int = LATE_THRESHOLD_MS) -> DataFrame:
+    """K12 for the log rows of one batch: the view of watched stops and the subscribers are opened only in the
+    buckets of the batch's trains, and no schedule is read."""
+    commit = latest(spark, root)
+    late = made.movements.filter(is_notifiable(threshold_ms))
+    told = made.cancellations.select("schedule_train_id").unionByName(made.changes_of_origin.select("schedule_train_id"))
+    trains = touched_buckets(told, "schedule_train_id", commit.buckets)
+    subscribers = read_table(spark, root, "subscribers", commit, buckets=trains)
+    stanox = read_table(spark, root, "stanox", commit)
+    return (
+        movement_notices_by_view(late, watched_of(spark, root, commit, late), stanox, threshold_ms)
+        .unionByName(cancellation_notices(made.cancellations, subscribers, stanox))
+        .unionByName(change_of_origin_notices(made.changes_of_origin, subscribers, stanox))
+    )
+
+
 def write_batch(
     spark: SparkSession, root: str, enriched: DataFrame, batch: str, threshold_ms: int
 ) -> None:
     """Append the logs of a batch and the notices that follow from them.
 
-    Every output of a batch is a directory of its own that is replaced as a whole, so a batch that is
-    run again after a failure leaves no double rows. Notices read the log rows just written.
+    Every output of a batch is replaced as a whole, so a batch that is run again after a failure leaves no
+    double rows.
     """
     enriched.persist()
     made = logs_of(enriched)
@@ -41,32 +63,11 @@ def write_batch(
     try:
         for table, rows in logs.items():
             write_log_batch(rows, root, table, batch)
+        notices = batch_notices(spark, root, made, threshold_ms)
+        notices.write.mode("overwrite").parquet(f"{root}/notifications/batch={batch}")
     finally:
         enriched.unpersist()
 
-    def written(table: str) -> DataFrame:
-        return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}/batch={batch}")
-
-    versions = current_versions(spark, root)
-
-    def current(table: str) -> DataFrame:
-        return read_table(spark, root, table, versions)
-
-    subscribers, stanox = current("subscribers"), current("stanox")
-    notices = (
-        movement_notices(
-            written("movement_log"),
-            subscribers,
-            current("schedule"),
-            current("schedule_secondary"),
-            stanox,
-            threshold_ms,
-        )
-        .unionByName(cancellation_notices(written("cancellation_log"), subscribers, stanox))
-        .unionByName(change_of_origin_notices(written("change_of_origin_log"), subscribers, stanox))
-    )
-    notices.write.mode("overwrite").parquet(f"{root}/notifications/batch={batch}")
-
 
 def run_movement_stream(
     spark: SparkSession,

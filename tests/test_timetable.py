@@ -18,16 +18,8 @@ from railbeam.plans.stations import stations
 from railbeam.plans.subscriptions import subscribe, subscriptions, unsubscribe
 from railbeam.schemas import COLUMNS, TABLES
 from railbeam.sources import feed, messages
-from railbeam.sources.snapshots import (
-    VersionConflict,
-    current_versions,
-    empty_table,
-    load_tables,
-    next_version,
-    read_table,
-    write_log_batch,
-    write_snapshots,
-)
+from railbeam.sources.commits import VersionConflict, claim, latest
+from railbeam.sources.snapshots import empty_table, load_tables, read_table, write_log_batch, write_snapshots
 from tests import rows as R
 
 CODE = R.CODE
@@ -374,17 +366,19 @@ def test_notifiable_is_strict(spark):
 def test_two_writers_and_a_reader_in_between(spark, tmp_path):
     root = str(tmp_path / "root")
     load_timetable(spark, root, [R.write_feed(tmp_path / "a.json", [*R.station_lines(), R.schedule_line("G1")])])
-    before = current_versions(spark, root)
-    mine, other = next_version(spark, root), next_version(spark, root)
-    assert mine != other
-    write_snapshots(spark, root, {"schedule": empty_table(spark, "schedule")}, other, based_on=before)
-    # A reader that resolved its versions before still sees the tables of that moment.
+    before = latest(spark, root)
+    assert claim(spark, root, "load") != claim(spark, root, "load")
+    after = write_snapshots(spark, root, {"schedule": empty_table(spark, "schedule")}, based_on=before)
+    # A reader that resolved its commit before still sees the tables of that moment.
     assert read_table(spark, root, "schedule", before).count() > 0 == read_table(spark, root, "schedule").count()
     with pytest.raises(VersionConflict):
-        write_snapshots(spark, root, {"schedule": empty_table(spark, "schedule")}, mine, based_on=before)
-    # Writers of other tables don't disturb each other.
-    write_snapshots(spark, root, {"subscribers": empty_table(spark, "subscribers")}, mine, based_on=before)
-    assert current_versions(spark, root) == {**before, "schedule": other, "subscribers": mine}
+        write_snapshots(spark, root, {"schedule": empty_table(spark, "schedule")}, based_on=before)
+    # Writers of other tables don't disturb each other, unless one has read what the other writes.
+    write_snapshots(spark, root, {"association": empty_table(spark, "association")}, based_on=before)
+    with pytest.raises(VersionConflict):
+        write_snapshots(spark, root, {"subscribers": empty_table(spark, "subscribers")}, based_on=before, reads=["schedule"])
+    now = latest(spark, root)
+    assert now.number == after.number + 1 and now.manifests["schedule"] == after.manifests["schedule"]
 
 
 def test_unknown_kinds_of_records_share_one_directory(spark, tmp_path):
