@@ -30,12 +30,19 @@ MIN_SCORE = 0.5
 BLOCK_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Keys are first looked up by their highest bits.
+FILTER_SHIFT = np.uint64(44)
+#: Words of the texts that are searched at a time; words that no item has keep two texts apart.
+GROUP_WORDS, _BETWEEN = 1 << 16, ["", "", "", ""]
 
 
 def tokens(text: str | None) -> list[str]:
     """Runs of letters and digits, each in lower case."""
-    found = _WORD.findall(text or "")
-    return "\n".join(found).lower().split("\n") if found else []
+    text = text or ""
+    low = text.lower()
+    if len(low) == len(text) and "Σ" not in text:
+        return _WORD.findall(low)
+    return [word.lower() for word in _WORD.findall(text)]  # lower case would depend on what stands beside a word
 
 
 @dataclass
@@ -49,6 +56,7 @@ class Block:
     owners: list[list[tuple[int, int]]] = field(default=None)  # for each key: (item, place in it)
     rare: list[list[tuple[int, int]]] = field(default=None)
     sizes: list[int] = field(default_factory=list)  # of the seeds, in words
+    filter: np.ndarray = field(default=None)  # whether some key begins with these bits
 
 
 def seed_keys(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,18 +66,20 @@ def seed_keys(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     so copies edited at every third word keep seeds. Unknown words are negative.
     """
     places, keys = [], []
+    is_known = words >= 0
+    count = max(0, len(words) - n + 1)
+    start = is_known[:count].copy()
+    for k in range(1, n - 1):
+        start &= is_known[k : count + k]
+    start = np.flatnonzero(start)
     for gap in (0, 1) if n > 2 else (0,):
-        count = len(words) - n + 1 - gap
-        if count <= 0:
-            break
-        known, key = np.ones(count, bool), np.zeros(count, np.uint64)
+        own = start[start < len(words) - n + 1 - gap]
+        own = own[is_known[own + n - 1 + gap]]
+        key = np.zeros(len(own), np.uint64)
         for k in (*range(n - 1), n - 1 + gap):
-            part = words[k : count + k]
-            known &= part >= 0
-            key = key * _BASE + (part + 1).astype(np.uint64)
-        own = np.nonzero(known)[0]
+            key = key * _BASE + (words[own + k] + 1).astype(np.uint64)
         places.append(own)
-        keys.append(key[own])
+        keys.append(key)
     if not keys:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(places), np.concatenate(keys)
@@ -88,7 +98,9 @@ def block_of(items: list[tuple], seed_words: int) -> Block:
             for place, key in zip(*map(np.ndarray.tolist, seed_keys(own, size)), strict=True):
                 owners.setdefault(key, []).append((item, place))
     keys = np.array(sorted(owners), np.uint64)
-    return Block([i for i, _ in items], words, vocabulary, keys, [owners[k] for k in keys.tolist()], sizes=sorted(sizes))
+    seen = np.zeros(1 << 64 - int(FILTER_SHIFT), bool)
+    seen[keys >> FILTER_SHIFT] = True
+    return Block([i for i, _ in items], words, vocabulary, keys, [owners[k] for k in keys.tolist()], sizes=sorted(sizes), filter=seen)
 
 
 def numbered(block: Block, words: list[str]) -> np.ndarray:
@@ -96,16 +108,56 @@ def numbered(block: Block, words: list[str]) -> np.ndarray:
 
 
 def seeds_in(block: Block, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the document, index of the seed) of every seed that occurs."""
+    """(place, index of the seed) of every seed that occurs."""
     found = [seed_keys(numbers, size) for size in block.sizes]
     places, keys = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
     if not len(keys):
         return places[:0], np.empty(0, np.int64)
+    maybe = block.filter[keys >> FILTER_SHIFT]
+    places, keys = places[maybe], keys[maybe]
     at = np.minimum(np.searchsorted(block.keys, keys), len(block.keys) - 1)
     hit = block.keys[at] == keys
     return places[hit], at[hit]
 
 
+@dataclass
+class Group:
+    """Some texts as one row of numbers, unknown words between them; the seeds found, by text."""
+
+    numbers: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    texts: np.ndarray  # for each hit: which text, the place in it, the seed
+    places: np.ndarray
+    seeds: np.ndarray
+
+
+def groups(block: Block, texts: Iterator[str | None]) -> Iterator[Group]:
+    """Texts by and by, about ``GROUP_WORDS`` words or one longer text at a time."""
+    words: list[str] = []
+    lengths: list[int] = []
+
+    def group() -> Group:
+        numbers = numbered(block, words)
+        sizes = np.array(lengths, np.int64)
+        starts = np.cumsum(sizes + len(_BETWEEN)) - sizes - len(_BETWEEN)
+        places, seeds = seeds_in(block, numbers)
+        own = np.searchsorted(starts, places, side="right") - 1
+        words.clear()
+        lengths.clear()
+        return Group(numbers, starts, sizes, own, places - starts[own], seeds)
+
+    for text in texts:
+        found = tokens(text)
+        if lengths and len(words) + len(found) > GROUP_WORDS:
+            yield group()
+        words += found
+        words += _BETWEEN
+        lengths.append(len(found))
+    if lengths:
+        yield group()
+
+
 def choose_rare(block: Block, documents: np.ndarray, floor: int, factor: float) -> None:
     """Keep for each seed the items it is rare for, given in how many documents each seed occurs."""
     of_item: dict[int, list[int]] = {}
@@ -145,33 +197,33 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def matches(block: Block, text: str | None, min_score: float) -> list[tuple]:
-    """(item id, score, start, end) of the items found in a text; offsets in code points, end exclusive."""
-    words = tokens(text)
-    numbers = numbered(block, words)
-    places, seeds = seeds_in(block, numbers)
+def matches(block: Block, group: Group, text: int, hits: slice, value: str, min_score: float) -> list[tuple]:
+    """(item id, score, start, end) of the items found in one text; offsets in code points, end exclusive."""
+    first, count = int(group.starts[text]), int(group.lengths[text])
+    numbers = group.numbers[first : first + count]
     windows: dict[int, list[tuple[int, int]]] = {}
-    for place, seed in zip(places.tolist(), seeds.tolist(), strict=True):
+    for place, seed in zip(group.places[hits].tolist(), group.seeds[hits].tolist(), strict=True):
         for item, at in block.rare[seed]:
             length = len(block.words[item])
             margin = max(8, length // 2)
-            windows.setdefault(item, []).append((max(0, place - at - margin), min(len(words), place - at + length + margin)))
+            windows.setdefault(item, []).append((max(0, place - at - margin), min(count, place - at + length + margin)))
     found, bounds = [], None
     for item, spans in windows.items():
         best = (0, 0, 0)
         full = MATCH * len(block.words[item])
         spans.sort()
         low, high = spans[0]
-        for start, stop in [*spans[1:], (len(words) + 1, 0)]:
+        for start, stop in [*spans[1:], (count + 1, 0)]:
             if start < high and stop - low <= 8 * len(block.words[item]) + 64:
                 high = max(high, stop)
                 continue
-            if best[0] < full:
+            # A score is at most that of the item's words which occur here, so most windows need no alignment.
+            if best[0] < full and MATCH * int(np.isin(block.words[item], numbers[low:high]).sum()) >= min_score * full:
                 score, a, b = align(block.words[item], numbers[low:high])
                 best = max(best, (score, low + a, low + b), key=lambda x: x[0])
             low, high = start, stop
-        if best[0] >= min_score * full:
-            bounds = bounds or [m.span() for m in _WORD.finditer(text)]
+        if best[0] and best[0] >= min_score * full:
+            bounds = bounds or [m.span() for m in _WORD.finditer(value)]
             found.append((block.ids[item], best[0] / full, bounds[best[1]][0], bounds[best[2] - 1][1]))
     return found
 
@@ -219,8 +271,9 @@ def _one_block(slim: DataFrame, block: Block, schema: str, min_score: float, flo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         documents = np.zeros(len(block.keys), np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                documents[np.unique(seeds_in(block, numbered(block, tokens(value.as_py())))[1])] += 1
+            for group in groups(block, (x.as_py() for x in batch.column(0))):
+                pairs = np.unique(group.texts * len(documents) + group.seeds)
+                documents += np.bincount(pairs % max(1, len(documents)), minlength=len(documents))
         seen = np.nonzero(documents)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(documents[seen])], ["seed", "n"])
 
@@ -231,9 +284,21 @@ def _one_block(slim: DataFrame, block: Block, schema: str, min_score: float, flo
     choose_rare(block, documents, floor, factor)
     kinds = (pa.string() if "item_id string" in schema else pa.int64(), pa.float64(), pa.int32(), pa.int32())
 
+    is_rare = np.array([bool(own) for own in block.rare], bool)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(row, *m) for row, value in enumerate(batch.column(1)) for m in matches(block, value.as_py(), min_score)]
+            found, before = [], 0
+            for group in groups(block, (x.as_py() for x in batch.column(1))):
+                order = np.flatnonzero(is_rare[group.seeds])
+                order = order[np.lexsort((group.places[order], group.texts[order]))]
+                group.texts, group.places, group.seeds = group.texts[order], group.places[order], group.seeds[order]
+                ends = np.flatnonzero(np.diff(group.texts, append=-1)) + 1
+                for first, stop in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+                    text = int(group.texts[first])
+                    value = batch.column(1)[before + text].as_py()
+                    found += [(before + text, *m) for m in matches(block, group, text, slice(first, stop), value, min_score)]
+                before += len(group.lengths)
             rows = pa.array([f[0] for f in found], pa.int64())
             columns = [pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], ["doc_id", "item_id", "score", "start", "end"])
