@@ -16,7 +16,7 @@ from railbeam.constants import (
     MSG_MOVEMENT,
 )
 from railbeam.functions.text import sortable
-from railbeam.operators.asof import ACTIVATION_FIELDS, with_activation
+from railbeam.operators.asof import ACTIVATION_FIELDS, HEAVY_ROWS, with_activation
 from railbeam.operators.logs import cancellation_log, change_of_origin_log, movement_log
 from railbeam.sources.messages import records_of
 
@@ -31,14 +31,18 @@ class Logs:
 
 
 def enrich(
-    exploded: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, slices: int = 16, salts: int = DEFAULT_SALTS
+    exploded: DataFrame,
+    ttl_ms: int = ACTIVATION_TTL_MS,
+    slices: int = 16,
+    salts: int = DEFAULT_SALTS,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """J2 for all record types in one pass."""
     activations = records_of(exploded, MSG_ACTIVATION)
     records = exploded.filter(
         F.col("msg_type").isin(MSG_CANCELLATION, MSG_MOVEMENT, MSG_CHANGE_OF_ORIGIN)
     ).drop(*ACTIVATION_FIELDS)
-    return with_activation(records, activations, ttl_ms, ORDER, slices, salts)
+    return with_activation(records, activations, ttl_ms, ORDER, slices, salts, heavy_rows)
 
 
 def logs(exploded: DataFrame, ttl_ms: int = ACTIVATION_TTL_MS, salts: int = DEFAULT_SALTS) -> Logs:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,31 +24,39 @@ from railbeam.schemas import MESSAGE_ELEMENT
 KNOWN_TYPES = [MSG_ACTIVATION, MSG_CANCELLATION, MSG_MOVEMENT, MSG_CHANGE_OF_ORIGIN]
 
 
-def _split_lines(files: DataFrame) -> DataFrame:
-    """One row per message of a landing file, numbered by its line."""
-    return (
-        files.select(
-            F.unix_millis(F.col("_metadata.file_modification_time")).alias("arrival_ms"),
-            F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"),
-            F.posexplode(F.split("value", "\n")).alias("line", "value"),
-        )
-        .filter(F.trim("value") != "")
-        .select(
-            "arrival_ms",
-            F.concat_ws("-", "file", sortable(F.col("line"))).alias("seq"),
-            "value",
-        )
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Give each line its number within its block of a file; a task reads the lines of a block one after another."""
+    block, line = None, 0
+    for batch in batches:
+        numbers = []
+        for now in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            line = line + 1 if now == block else 0
+            block = now
+            numbers.append(line)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(numbers, pa.int32()), batch.column(3)], ["arrival_ms", "file", "block", "line", "value"])
+
+
+def _split_lines(lines: DataFrame) -> DataFrame:
+    """One row per message, in the order of file, block of the file and line: a large file is read by many tasks."""
+    placed = lines.select(
+        F.unix_millis(F.col("_metadata.file_modification_time")).alias("arrival_ms"),
+        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        "value",
     )
+    numbered = placed.mapInArrow(_numbered, "arrival_ms bigint, file string, block bigint, line int, value string")
+    place = F.concat_ws("-", "file", sortable(F.col("block"), LONG_DIGITS), sortable(F.col("line")))
+    return numbered.filter(F.trim("value") != "").select("arrival_ms", place.alias("seq"), "value")
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Messages of a landing directory as a batch: (arrival_ms, seq, value)."""
-    return _split_lines(spark.read.text(path, wholetext=True))
+    return _split_lines(spark.read.text(path))
 
 
 def stream_messages(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """The same as a stream. Each landing file is one small, closed batch of messages."""
-    reader = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files)
+    """The same as a stream. A landing file is closed, of any size, and has one message on each line."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
     return _split_lines(reader.schema("value string").format("text").load(path))
 
 

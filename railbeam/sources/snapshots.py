@@ -20,7 +20,6 @@ from dataclasses import dataclass
 from itertools import product
 from zlib import crc32
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -363,13 +362,3 @@ def remove_unused(spark: SparkSession, root: str, older_than_ms: int) -> int:
             if name.endswith(".json") and path not in commit.manifests.values() and name != f"{commit.number:012d}.json":
                 drop(f"{root}/{path}")
     return gone
-
-
-def existing_path(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """A parquet folder if it is there."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import Future
 
@@ -19,6 +20,7 @@ from railbeam.operators.notices import (
 from railbeam.plans.enrich import Logs, logs_of
 from railbeam.plans.load import watched_of
 from railbeam.sources.commits import latest
+from railbeam.sources.files import create_whole, names, read_text
 from railbeam.sources.messages import (
     explode_messages,
     message_rejects,
@@ -69,6 +71,22 @@ def write_batch(
         enriched.unpersist()
 
 
+def kept_salts(spark: SparkSession, checkpoint: str, salts: int) -> int:
+    """The number of state groups of a checkpoint, noted in it when it begins.
+
+    Activations are held by each group, so records dealt over other groups would find none. A checkpoint without
+    the note is older; its activations are in the first group in any case, so all records go there.
+    """
+    note = f"{checkpoint}/state.json"
+    if "state.json" not in names(spark, checkpoint):
+        first = 1 if names(spark, f"{checkpoint}/offsets") else salts
+        create_whole(spark, note, json.dumps({"version": 1, "salts": first}))
+    found = json.loads(read_text(spark, note))
+    if found["version"] != 1:
+        raise ValueError(f"{note} is of a version that this code does not know")
+    return found["salts"]
+
+
 def run_movement_stream(
     spark: SparkSession,
     root: str,
@@ -83,8 +101,10 @@ def run_movement_stream(
     """Start the stream from raw messages to logs and notices.
 
     A batch is named by the query's own id, which stays the same for one checkpoint and differs between
-    two, so a stream with a new checkpoint never replaces what another has written.
+    two, so a stream with a new checkpoint never replaces what another has written. The number of state groups
+    stays what it was when the checkpoint began, whatever ``salts`` says later.
     """
+    salts = kept_salts(spark, checkpoint, salts)
     enriched = enrich_stream(explode_messages(parse_messages(messages)), ttl_ms, salts)
 
     query_id: Future[str] = Future()

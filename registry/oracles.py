@@ -362,11 +362,26 @@ _W0, _W1 = 1704844800000, 1705881600000
 
 PAIRS = f"""
 asked AS (
-  SELECT DISTINCT CAST(user_id AS VARCHAR) AS schedule_train_id, '00001' AS from_stanox_code,
-    '00002' AS to_stanox_code, 0 AS from_ts, {_W1} AS to_ts, '12:00' AS dep, '13:00' AS arr
-  FROM events)
+  SELECT CAST(u AS VARCHAR) AS schedule_train_id, {_pad('f', 5)} AS from_stanox_code, {_pad('t', 5)} AS to_stanox_code,
+    {_W0} - f * 86400000 AS from_ts, {_W1} + t * 3600000 AS to_ts, '12:00' AS dep, '13:00' AS arr
+  FROM (SELECT DISTINCT user_id AS u FROM events), range(10) AS x(f), range(10) AS y(t) WHERE f <> t)
 """
 
+WINDOWS = f"""
+windows AS (
+  SELECT CAST(u AS VARCHAR) AS schedule_train_id, {_W0} + u * 3600000 AS from_ts, {_W1} AS to_ts, 'closed' AS asked
+  FROM (SELECT DISTINCT user_id AS u FROM events)
+  UNION ALL
+  SELECT CAST(u AS VARCHAR), 0, {_W0} + u * 3600000, 'open' FROM (SELECT DISTINCT user_id AS u FROM events))
+"""
+
+
+def _in_windows(log: str, stop: str, more: str = "true") -> str:
+    return f"""
+    SELECT asked, id, {stop} FROM {log} l JOIN windows w ON w.schedule_train_id = l.schedule_train_id
+      AND l.origin_departure_timestamp BETWEEN w.from_ts AND w.to_ts WHERE {more}"""
+
+
 
 def _pairs(asked: str) -> str:
     return f"""
@@ -523,6 +538,21 @@ alive AS (
     AND d.tiploc_code = w.tiploc_code AND d.event_id > w.event_id))
 """
 
+# What a full load of the feed keeps: stations, trains and associations whose records are good creates.
+LOADED = (
+    STANOX.replace("stanox AS (", "all_stanox AS (", 1),
+    """stanox AS (
+      SELECT * FROM (SELECT *, CAST(tiploc_code AS BIGINT) AS s FROM all_stanox)
+      WHERE s % 7 <> 4 AND NOT (s % 7 <> 3 AND s % 19 = 6) AND s % 17 <> 9)""",
+    TRAINS,
+    STOPS,
+    SCHEDULE.replace("schedule AS (", "all_schedule AS (", 1),
+    "schedule AS (SELECT * FROM all_schedule WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 100 NOT IN (33, 77))",
+    ASSOCIATION.replace("association AS (", "all_association AS (", 1),
+    "association AS (SELECT * FROM all_association WHERE o_orderstatus <> 'P')",
+)
+_PREFERRED = ", ".join(f"('{s}', '{t}')" for s, t in PREFERRED_TIPLOCS)
+
 ORACLES: dict[str, str] = {
     "decode_props": """
         SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k,
@@ -619,7 +649,12 @@ ORACLES: dict[str, str] = {
     ),
     "schedule_lookup": _with(
         *ALL_SCHEDULE,
-        body="SELECT id, schedule_train_id, stanox_code, stop_sequence FROM schedule WHERE schedule_train_id = '11'",
+        body=f"""
+        SELECT 'train' AS asked, id, schedule_train_id, stanox_code, stop_sequence FROM schedule WHERE o_orderkey % 10 = 1
+        UNION ALL
+        SELECT 'train and stop', id, schedule_train_id, stanox_code, stop_sequence FROM schedule WHERE stanox_code = {_pad('o_orderkey % 10', 5)}
+        UNION ALL
+        SELECT 'id', id, schedule_train_id, stanox_code, stop_sequence FROM schedule WHERE o_orderkey % 7 = 1 AND stop_sequence <= 2""",
     ),
     "schedule_search": _with(
         *ALL_SCHEDULE, SUBSCRIBERS, CRS, NAMES,
@@ -627,6 +662,19 @@ ORACLES: dict[str, str] = {
         f"answers AS ({_answers('schedule', 'Primary', 'req')})",
         body=f"SELECT {_SHOWN.format(subscribed=_HELD.format(user=chr(39) + '1' + chr(39)))} FROM answers a {_NAMED} WHERE a.departure_time IS NOT NULL",
     ),
+    "search_subscribed": _with(
+        *ALL_SCHEDULE, SUBSCRIBERS, CRS, NAMES,
+        """asks AS (SELECT from_stanox_code AS f, to_stanox_code AS t, days_run_pattern AS p, user_id FROM subscribers
+          UNION ALL SELECT from_stanox_code, to_stanox_code, days_run_pattern, 'x' || user_id FROM subscribers WHERE right(user_id, 1) = '1')""",
+        "req AS (SELECT DISTINCT f, t, p FROM asks)",
+        f"answers AS ({_answers('schedule', 'Primary', 'req')})",
+        "users AS (SELECT DISTINCT * FROM asks)",
+        f"shown AS (SELECT u.user_id, a.id, {_HELD.format(user='u.user_id')} AS subscribed "
+        "FROM answers a JOIN users u ON u.f = a.from_stanox_code AND u.t = a.to_stanox_code AND u.p = a.days_run_pattern "
+        "JOIN names ON code = atoc_code WHERE a.departure_time IS NOT NULL)",
+        body="""SELECT user_id, subscribed, CASE WHEN subscribed THEN 'Y' ELSE 'N' END AS subscribed_flag, count(*) AS trains,
+          min(id) AS first_id FROM shown GROUP BY ALL""",
+    ),
     "search_primary_secondary": _with(
         *ALL_SCHEDULE, ASSOCIATION, MATCH, STITCH, CRS, NAMES,
         "req AS (SELECT '00001' AS f, '00002' AS t, 'Saturdays' AS p)",
@@ -659,11 +707,7 @@ ORACLES: dict[str, str] = {
           AND id NOT IN (SELECT id FROM association WHERE o_orderstatus = 'F')""",
     ),
     "association_lookup": _with(
-        ASSOCIATION,
-        body="""
-        SELECT id FROM association WHERE main_schedule_train_id = '11' AND associated_schedule_train_id = '12'
-          AND associated_start = DATE '1996-01-01' AND stp_indicator = 'P' AND location = '11'
-        UNION ALL SELECT id FROM association WHERE main_schedule_train_id = '11'""",
+        ASSOCIATION, body="SELECT id FROM association WHERE CAST(main_schedule_train_id AS BIGINT) % 3 <> 0"
     ),
     "association_match": _with(
         *ALL_SCHEDULE, ASSOCIATION, MATCH,
@@ -710,23 +754,21 @@ ORACLES: dict[str, str] = {
     "cancel_log": _with(RECORDS, ENRICHED, CANCELLATIONS, body="SELECT * FROM cancellation_log"),
     "origin_log": _with(RECORDS, ENRICHED, ORIGINS, body="SELECT * FROM change_of_origin_log"),
     "movement_history": _with(
-        RECORDS, ENRICHED, MOVEMENTS,
-        body=f"""
-        SELECT id, stanox_code FROM movement_log WHERE schedule_train_id = '7'
-          AND stanox_code IN ('00001', '00002', '00003')
-          AND origin_departure_timestamp BETWEEN {_W0} AND {_W1}""",
+        RECORDS, ENRICHED, MOVEMENTS, WINDOWS,
+        body=_in_windows("movement_log", "stanox_code", "stanox_code IN ('00001', '00002', '00003')"),
     ),
-    "cancel_history": _with(
-        RECORDS, ENRICHED, CANCELLATIONS,
+    "cancel_history": _with(RECORDS, ENRICHED, CANCELLATIONS, WINDOWS, body=_in_windows("cancellation_log", "stanox_code")),
+    "origin_history": _with(RECORDS, ENRICHED, ORIGINS, WINDOWS, body=_in_windows("change_of_origin_log", "new_stanox_code")),
+    "one_train_history": _with(
+        RECORDS, ENRICHED, MOVEMENTS, CANCELLATIONS,
         body=f"""
-        SELECT id, stanox_code FROM cancellation_log WHERE schedule_train_id = '7'
-          AND origin_departure_timestamp BETWEEN {_W0} AND {_W1}""",
+        SELECT id, stanox_code FROM movement_log WHERE schedule_train_id = '7' AND origin_departure_timestamp BETWEEN {_W0} AND {_W1}
+        UNION ALL
+        SELECT id, stanox_code FROM cancellation_log WHERE schedule_train_id = '7' AND origin_departure_timestamp BETWEEN {_W0} AND {_W1}""",
     ),
-    "origin_history": _with(
-        RECORDS, ENRICHED, ORIGINS,
-        body=f"""
-        SELECT id, new_stanox_code FROM change_of_origin_log WHERE schedule_train_id = '7'
-          AND origin_departure_timestamp >= {_W0}""",
+    "delay_texts": _with(
+        RECORDS, ENRICHED, MOVEMENTS,
+        body=f"SELECT id, {_DELAY} AS delay_text, {_words('CAST(trunc(difference / 60000.0) AS BIGINT)')} AS difference_text FROM movement_log",
     ),
     "history_header": _with(
         *ALL_SCHEDULE, SUBSCRIBERS, CRS, HEADER, body="SELECT * FROM answered"
@@ -772,7 +814,13 @@ ORACLES: dict[str, str] = {
     ),
     "subscriber_lookup": _with(
         *ALL_SCHEDULE, SUBSCRIBERS,
-        body="SELECT id, user_id FROM subscribers WHERE schedule_train_id = '11' AND service_code = 'S1'",
+        "held AS (SELECT *, CAST(schedule_train_id AS BIGINT) AS k FROM subscribers)",
+        body=f"""
+        SELECT 'train' AS asked, id, user_id FROM held WHERE k % 2 = 0
+        UNION ALL SELECT 'user', id, user_id FROM held WHERE CAST(user_id AS BIGINT) % 2 = 0
+        UNION ALL SELECT 'user and id', id, user_id FROM held h WHERE EXISTS (SELECT 1 FROM orders
+          WHERE CAST(o_custkey AS VARCHAR) = h.user_id AND {_pad('o_orderkey + o_orderkey % 3')} = h.id)
+        UNION ALL SELECT 'id', id, user_id FROM held WHERE k % 7 = 1""",
     ),
     "notifications": _with(*NOTICE_PARTS, body=_MOVEMENT_NOTICES),
     "cancel_notifications": _with(*NOTICE_PARTS, body=_CANCEL_NOTICES),
@@ -783,6 +831,25 @@ ORACLES: dict[str, str] = {
         SELECT arrival_ms // 60000 * 60000 AS minute, kind, count(*) AS notices
         FROM ({_CANCEL_NOTICES}) GROUP BY 1, 2""",
     ),
+    "preferred_tiplocs": f"""
+        WITH pairs(stanox, tiploc) AS (VALUES {_PREFERRED}), numbered AS (SELECT *, row_number() OVER () - 1 AS n FROM pairs)
+        SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 5 THEN (a.stanox, b.tiploc) IN (SELECT (stanox, tiploc) FROM pairs) END AS primary_entry
+        FROM supplier JOIN numbered a ON a.n = s_suppkey % {len(PREFERRED_TIPLOCS)}
+          JOIN numbered b ON b.n = (CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 1 ELSE s_suppkey END) % {len(PREFERRED_TIPLOCS)}""",
+    "load_schedule": _with(
+        *LOADED,
+        body="""
+        SELECT schedule_train_id, CASE WHEN o_orderkey % 8 = 0 THEN 'NEW' ELSE 'OO' END AS train_category, stop_sequence,
+          stanox_code, len(codes) AS later_stops
+        FROM schedule WHERE o_orderkey % 4 <> 0 OR o_orderkey % 8 = 0""",
+    ),
+    "load_combined": _with(
+        *LOADED, MATCH, STITCH,
+        body="""
+        SELECT a.main_schedule_train_id, a.association_category, s.schedule_train_id, s.stop_sequence, s.stanox_code
+        FROM association a LEFT JOIN (SELECT * FROM secondary WHERE atoc_code IS NOT NULL) s ON s.association_id = a.id
+        WHERE CAST(a.main_schedule_train_id AS BIGINT) % 4 <> 0""",
+    ),
     "feed_fold_stanox": _with(
         STANOX, _STORED_LATER,
         body="""

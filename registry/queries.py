@@ -5,20 +5,24 @@ Arrays are shown as joined strings and counts as bigint, so that results compare
 
 from __future__ import annotations
 
-import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbeam.constants import ACTIVATION_TTL_MS, DAY_COLUMNS
+from railbeam.constants import ACTIVATION_TTL_MS, DAY_COLUMNS, PREFERRED_TIPLOCS
 from railbeam.functions.days import day_flags, run_pattern, run_pattern_of_flags
-from railbeam.functions.text import blank_to_null, delay_text, strict_long
+from railbeam.functions.text import blank_to_null, delay_text, difference_text, strict_long
 from railbeam.functions.times import minutes_between, utc_date, utc_time, whole_minutes, yesterday_name
 from railbeam.operators import associations as assoc
+from railbeam.operators import lookups
 from railbeam.operators import stations as station_ops
 from railbeam.operators.asof import ACTIVATION_FIELDS, latest_activations
 from railbeam.operators.fold import fold_stanox
+from railbeam.operators.intervals import log_windows
 from railbeam.operators.logs import cancellation_log, change_of_origin_log, log_window, movement_log
 from railbeam.operators.notices import (
     affected_on_range,
@@ -28,10 +32,9 @@ from railbeam.operators.notices import (
     is_notifiable,
     movement_notices,
     notice_counts_per_minute,
-    subscribers_of_train,
     watched_stops,
 )
-from railbeam.operators.stops import schedule_by_train, stop_codes
+from railbeam.operators.stops import stop_codes
 from railbeam.plans.enrich import enrich
 from railbeam.plans.history import (
     REQUEST,
@@ -41,13 +44,13 @@ from railbeam.plans.history import (
     history_requests,
     movement_pairs,
 )
-from railbeam.plans.load import fold_association, fold_schedule
+from railbeam.plans.load import build_secondary, fold_association, fold_schedule, load_timetable
 from railbeam.plans.search import schedule_search, schedule_search_requests
 from railbeam.plans.stations import stations
 from railbeam.plans.subscriptions import list_response, resolve_requests, subscribe, unsubscribe
 from railbeam.schemas import COLUMNS
 from railbeam.sources import feed, messages
-from railbeam.sources.snapshots import empty_table
+from railbeam.sources.snapshots import empty_table, read_table
 from registry import shapes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +186,16 @@ def decode_tiplocs(spark: SparkSession, d: str) -> DataFrame:
     return feed.stanox_changes(_parsed(spark, d))
 
 
+def preferred_tiplocs(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier as one of the preferred stops, a third of them under the tiploc of the next one."""
+    key, n = F.col("s_suppkey"), len(PREFERRED_TIPLOCS)
+    codes, names = (F.array(*[F.lit(p[k]) for p in PREFERRED_TIPLOCS]) for k in (0, 1))
+    stanox = F.when(key % 11 != 5, F.element_at(codes, (key % n + 1).cast("int")))
+    tiploc = F.element_at(names, (F.when(key % 3 == 0, key + 1).otherwise(key) % n + 1).cast("int"))
+    rows = shapes.table(spark, d, "supplier")
+    return rows.select("s_suppkey", feed.is_preferred_tiploc(stanox, tiploc).alias("primary_entry"))
+
+
 def decode_schedules(spark: SparkSession, d: str) -> DataFrame:
     rows = feed.schedule_changes(_parsed(spark, d))
     stop = lambda x: F.concat_ws(
@@ -272,9 +285,35 @@ def station_list(spark: SparkSession, d: str) -> DataFrame:
 # Search -----------------------------------------------------------------------------------------
 
 
+def _order_key() -> Column:
+    return F.col("o_orderkey")
+
+
 def schedule_lookup(spark: SparkSession, d: str) -> DataFrame:
-    rows = schedule_by_train(shapes.schedule(spark, d), "11")
-    return rows.select("id", "schedule_train_id", "stanox_code", big("stop_sequence"))
+    """Trains of every tenth order, the first two stops of every seventh one by id, and every train at one stop."""
+    rows, orders = shapes.schedule(spark, d), shapes.table(spark, d, "orders").select("o_orderkey")
+    key, train = _order_key(), F.col("o_orderkey").cast("string").alias("schedule_train_id")
+    by_train = lookups.schedules_by_train(rows, orders.filter(key % 10 == 1).select(train))
+    by_stop = lookups.schedules_by_train(rows, orders.select(train, shapes.code(key % 10).alias("stanox_code")))
+    place = F.explode(F.array(F.lit(1), F.lit(2)))
+    ids = orders.filter(key % 7 == 1).select(shapes.padded(key).alias("head"), place.alias("place"))
+    by_id = lookups.schedules_by_id(rows, ids.select(F.concat_ws("-", "head", shapes.padded(F.col("place"), 10)).alias("id")))
+    shown = ["id", "schedule_train_id", "stanox_code", big("stop_sequence")]
+    found = [(by_train, "train"), (by_stop, "train and stop"), (by_id, "id")]
+    return reduce(DataFrame.unionByName, [r.select(F.lit(asked).alias("asked"), *shown) for r, asked in found])
+
+
+def search_subscribed(spark: SparkSession, d: str) -> DataFrame:
+    """Every subscriber, and some strangers, ask for the subscribers' routes: how many trains they hold of those found."""
+    rows = shapes.schedule(spark, d)
+    held = shapes.subscribers(spark, d, rows)
+    tables = shapes.rail_tables(spark, d, schedule=rows, subscribers=held)
+    own = held.select("from_stanox_code", "to_stanox_code", "days_run_pattern", "user_id")
+    strange = own.select("from_stanox_code", "to_stanox_code", "days_run_pattern", F.concat(F.lit("x"), "user_id").alias("user_id"))
+    asked = own.unionByName(strange.filter(F.col("user_id").endswith("1")))
+    found = schedule_search_requests(tables, asked, min_days=2)
+    counts = found.groupBy("user_id", "subscribed", "subscribed_flag").agg(F.count("*").alias("trains"), F.min("id").alias("first_id"))
+    return counts.select("user_id", "subscribed", "subscribed_flag", "trains", "first_id")
 
 
 def search_one(spark: SparkSession, d: str) -> DataFrame:
@@ -333,11 +372,11 @@ def pending(spark: SparkSession, d: str) -> DataFrame:
 
 
 def association_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every association by its own five-part key; every third is asked for with another start."""
     rows = _association_rows(spark, d)
-    day = dt.date(1996, 1, 1)
-    return assoc.association_by_key(rows, "11", "12", day, "P", "11").select("id").unionByName(
-        rows.filter(F.col("main_schedule_train_id") == "11").select("id")
-    )
+    other = F.col("main_schedule_train_id").cast("bigint") % 3 == 0
+    asked = rows.withColumn("associated_start", F.when(other, F.date_add("associated_start", 1)).otherwise(F.col("associated_start")))
+    return lookups.associations_by_key(rows, asked).select("id")
 
 
 def association_match(spark: SparkSession, d: str) -> DataFrame:
@@ -469,16 +508,42 @@ def _origins(spark: SparkSession, d: str) -> DataFrame:
 WINDOW = (1704844800000, 1705881600000)
 
 
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    """Two requests for every user's train: a range that begins later for each, and one that is open at one end."""
+    users = shapes.table(spark, d, "events").select(F.col("user_id").alias("u")).distinct()
+    start = F.lit(WINDOW[0]) + F.col("u") * 3600000
+    closed = F.struct(start.alias("from_ts"), F.lit(WINDOW[1]).alias("to_ts"), F.lit("closed").alias("asked"))
+    opened = F.struct(F.lit(None).cast("bigint").alias("from_ts"), start.alias("to_ts"), F.lit("open").alias("asked"))
+    return users.select(F.col("u").cast("string").alias("schedule_train_id"), F.inline(F.array(closed, opened)))
+
+
 def movement_history(spark: SparkSession, d: str) -> DataFrame:
-    return log_window(_movements(spark, d), "7", ["00001", "00002", "00003"], *WINDOW).select("id", "stanox_code")
+    stop = F.explode(F.array(*[F.lit(f"{k:05d}") for k in (1, 2, 3)])).alias("stanox_code")
+    asked = _windows(spark, d).select("*", stop)
+    found = log_windows(_movements(spark, d), asked, ["schedule_train_id", "stanox_code"])
+    return found.select("asked", "id", "stanox_code")
 
 
 def cancel_history(spark: SparkSession, d: str) -> DataFrame:
-    return log_window(_cancellations(spark, d), "7", None, *WINDOW).select("id", "stanox_code")
+    return log_windows(_cancellations(spark, d), _windows(spark, d), ["schedule_train_id"]).select("asked", "id", "stanox_code")
 
 
 def origin_history(spark: SparkSession, d: str) -> DataFrame:
-    return log_window(_origins(spark, d), "7", None, WINDOW[0]).select("id", "new_stanox_code")
+    return log_windows(_origins(spark, d), _windows(spark, d), ["schedule_train_id"]).select("asked", "id", "new_stanox_code")
+
+
+def one_train_history(spark: SparkSession, d: str) -> DataFrame:
+    """F4-F6 for one train, as one request is answered."""
+    rows = log_window(_movements(spark, d), "7", None, *WINDOW).select("id", "stanox_code")
+    others = log_window(_cancellations(spark, d), "7", None, *WINDOW).select("id", "stanox_code")
+    return rows.unionByName(others)
+
+
+def delay_texts(spark: SparkSession, d: str) -> DataFrame:
+    """X9 for every logged movement, and X10 for its whole minutes of delay."""
+    text = delay_text(F.col("variation_status"), F.col("planned_passenger_timestamp"), F.col("actual_timestamp"))
+    minutes = whole_minutes(F.col("difference"))
+    return _movements(spark, d).select("id", text.alias("delay_text"), difference_text(minutes).alias("difference_text"))
 
 
 # History ----------------------------------------------------------------------------------------
@@ -496,31 +561,36 @@ def header(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fixed_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Every user's train between two stops, with planned times of noon and one o'clock."""
+    """Every user's train between any two of ten stops, with planned times of noon and one o'clock; the range
+    begins earlier for stops with a higher number."""
     users = shapes.table(spark, d, "events").select(F.col("user_id").cast("string").alias("schedule_train_id"))
-    return users.distinct().select(
+    codes = F.array(*[F.lit(k) for k in range(10)])
+    routes = users.distinct().select("schedule_train_id", F.explode(codes).alias("f")).select("*", F.explode(codes).alias("t"))
+    return routes.filter("f <> t").select(
         "schedule_train_id",
-        F.lit(FROM_STOP).alias("from_stanox_code"),
-        F.lit(TO_STOP).alias("to_stanox_code"),
-        F.lit(0).cast("bigint").alias("from_ts"),
-        F.lit(WINDOW[1]).cast("bigint").alias("to_ts"),
+        shapes.code(F.col("f")).alias("from_stanox_code"),
+        shapes.code(F.col("t")).alias("to_stanox_code"),
+        (F.lit(WINDOW[0]) - F.col("f") * 86400000).alias("from_ts"),
+        (F.lit(WINDOW[1]) + F.col("t") * 3600000).alias("to_ts"),
         F.lit("12:00").alias("expected_departure_time"),
         F.lit("13:00").alias("expected_arrival_time"),
     )
 
 
 def history_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return movement_pairs(_movements(spark, d), _fixed_requests(spark, d)).drop("from_ts", "to_ts")
+    asked = _fixed_requests(spark, d)
+    return movement_pairs(_movements(spark, d), asked, asked).drop("from_ts", "to_ts")
 
 
 def history_cancel(spark: SparkSession, d: str) -> DataFrame:
-    return cancellation_days(_cancellations(spark, d), _fixed_requests(spark, d)).drop("from_ts", "to_ts")
+    asked = _fixed_requests(spark, d)
+    return cancellation_days(_cancellations(spark, d), asked, asked).drop("from_ts", "to_ts")
 
 
 def history_display(spark: SparkSession, d: str) -> DataFrame:
     asked = _fixed_requests(spark, d)
     return display_rows(
-        movement_pairs(_movements(spark, d), asked), cancellation_days(_cancellations(spark, d), asked)
+        movement_pairs(_movements(spark, d), asked, asked), cancellation_days(_cancellations(spark, d), asked, asked)
     ).drop("from_ts", "to_ts")
 
 
@@ -576,7 +646,18 @@ def subscriber_stops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subscriber_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return subscribers_of_train(shapes.subscribers(spark, d), "11", "S1").select("id", "user_id")
+    """By train and service (half of them the wrong one), by user, by user and id, and by id."""
+    rows, orders = shapes.subscribers(spark, d), shapes.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    key = _order_key()
+    service = F.when(key % 2 == 0, F.concat(F.lit("S"), (key % 5).cast("string"))).otherwise(F.lit("S9"))
+    user, record = F.col("o_custkey").cast("string").alias("user_id"), shapes.padded(key).alias("id")
+    found = {
+        "train": lookups.subscribers_by_train(rows, orders.select(key.cast("string").alias("schedule_train_id"), service.alias("service_code"))),
+        "user": lookups.subscribers_by_user(rows, orders.filter(F.col("o_custkey") % 2 == 0).select(user)),
+        "user and id": lookups.subscribers_by_user(rows, orders.select(user, shapes.padded(key + key % 3).alias("id"))),
+        "id": lookups.subscribers_by_id(rows, orders.filter(key % 7 == 1).select(record)),
+    }
+    return reduce(DataFrame.unionByName, [r.select(F.lit(asked).alias("asked"), "id", "user_id") for asked, r in found.items()])
 
 
 def notifications(spark: SparkSession, d: str) -> DataFrame:
@@ -674,6 +755,47 @@ def feed_fold_association(spark: SparkSession, d: str) -> DataFrame:
     return folded.select("id", "main_schedule_train_id", "association_category", "days_run_pattern")
 
 
+def _round_trip(spark: SparkSession, d: str) -> str:
+    """The whole write path: the feed's lines as files, a full load, the combined trains, an update in two files.
+
+    The update deletes every fourth train and the associations of these, and creates every eighth anew.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="railbeam-round-trip-")
+    root = f"{shared}/railbeam/round-trip-{uuid.uuid4().hex}"
+    _feed_lines(spark, d).select("value").write.text(f"{root}/feed/full")
+    lines = spark.read.text(f"{root}/feed/full")
+    uid = F.coalesce(
+        F.get_json_object("value", "$.JsonScheduleV1.CIF_train_uid"), F.get_json_object("value", "$.JsonAssociationV1.main_train_uid")
+    ).cast("bigint")
+    create = '"transaction_type":"Create"'
+    created = lines.filter(F.col("value").contains(create))
+    deletes = created.filter(uid % 4 == 0).select(F.replace("value", F.lit(create), F.lit(create.replace("Create", "Delete"))).alias("value"))
+    again = created.filter((uid % 8 == 0) & F.col("value").startswith('{"JsonScheduleV1"'))
+    again = again.select(F.replace("value", F.lit('"CIF_train_category":"OO"'), F.lit('"CIF_train_category":"NEW"')).alias("value"))
+    deletes.write.text(f"{root}/feed/deletes")
+    again.write.text(f"{root}/feed/again")
+    load_timetable(spark, root, [f"{root}/feed/full"], flush=True)
+    build_secondary(spark, root)
+    load_timetable(spark, root, [f"{root}/feed/deletes", f"{root}/feed/again"])
+    return root
+
+
+def load_schedule(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, _round_trip(spark, d), "schedule")
+    later = F.size("subsequent_stanox_codes").cast("bigint").alias("later_stops")
+    return rows.select("schedule_train_id", "train_category", big("stop_sequence"), "stanox_code", later)
+
+
+def load_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Associations that are left, with the stops of their combined trains; those of deleted ones went with them."""
+    root = _round_trip(spark, d)
+    kept = read_table(spark, root, "association").select(F.col("id").alias("association_id"), "main_schedule_train_id", "association_category")
+    stops = read_table(spark, root, "schedule_secondary").select(
+        "association_id", "schedule_train_id", big("stop_sequence"), "stanox_code"
+    )
+    return kept.join(stops, "association_id", "full").drop("association_id")
+
+
 def _subscribe_requests(spark: SparkSession, d: str) -> DataFrame:
     """Each order asks for its first schedule row twice; some name a row that does not exist."""
     held = shapes.subscribers(spark, d)
@@ -755,6 +877,7 @@ QUERIES: dict[str, Query] = {
     "stations": station_list,
     "schedule_lookup": schedule_lookup,
     "schedule_search": search_one,
+    "search_subscribed": search_subscribed,
     "search_primary_secondary": search_primary_secondary,
     "schedule_search_requests": search_requests,
     "pending_associations": pending,
@@ -776,6 +899,8 @@ QUERIES: dict[str, Query] = {
     "movement_history": movement_history,
     "cancel_history": cancel_history,
     "origin_history": origin_history,
+    "one_train_history": one_train_history,
+    "delay_texts": delay_texts,
     "history_header": header,
     "history_pairs": history_pairs,
     "history_cancel": history_cancel,
@@ -790,6 +915,9 @@ QUERIES: dict[str, Query] = {
     "cancel_notifications": _cancel_notices,
     "origin_notifications": _origin_notices,
     "notice_counts": notice_counts,
+    "preferred_tiplocs": preferred_tiplocs,
+    "load_schedule": load_schedule,
+    "load_combined": load_combined,
     "feed_fold_stanox": feed_fold_stanox,
     "feed_fold_schedule": feed_fold_schedule,
     "feed_fold_association": feed_fold_association,
