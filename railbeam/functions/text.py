@@ -91,6 +91,9 @@ def _lines(*parts: tuple[str, Column]) -> Column:
     return F.concat(*pieces)
 
 
+# The labels and line breaks of the three notification texts below are what subscribers receive.
+
+
 def movement_body(origin_text: Column, affected_text: Column) -> Column:
     """Notification text of a movement log row."""
     c = F.col
