@@ -126,4 +126,31 @@ def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale
         FROM rows JOIN kept USING (vec_id), said"""
 
 
-ORACLES: dict[str, str] = {"op12_vector_codes": _vector_codes_sql()}
+def _quality_rules_sql() -> str:
+    """Windows as rows instead of sorted hashes; the thresholds are written out, apart from the operator's table."""
+    stop_words = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
+    return rf"""WITH texts AS MATERIALIZED (
+          SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+          FROM documents),
+        windows AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest([w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] for j in range(1, len(w) - 1)]) AS win FROM texts),
+        twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+        covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) AS _(k) GROUP BY r),
+        counts AS (
+          SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+            CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+            CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS n_shouts,
+            len(list_intersect(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), [{stop_words}])) AS n_stop_words,
+            len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+            CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+          FROM texts LEFT JOIN covered USING (r)),
+        judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS whole FROM counts)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT base_failed AND word_chars / whole BETWEEN 3 AND 10 AND n_symbols / whole <= 0.1 AND n_shouts / whole <= 0.3
+            AND n_stop_words >= 2 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND n_repeat_words / whole <= 0.5 AS kept
+        FROM judged"""
+
+
+#: The others have no SQL form: trained models, tokenizers, iterations, or searches that SQL can't end in time.
+ORACLES: dict[str, str] = {"op4_quality_rules": _quality_rules_sql(), "op12_vector_codes": _vector_codes_sql()}

@@ -10,6 +10,7 @@ from html import unescape as html_unescape
 from itertools import combinations
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from railbeam.llm import byte_cnn, ctw, decontam, golay, langid, line_blocks, mixing, quality_rules, rans, secret_scan, simhash
+from railbeam.llm import byte_cnn, ctw, decontam, golay, langid, line_blocks, mixing, quality_rules, queries, rans, secret_scan, simhash
 from railbeam.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -246,6 +247,24 @@ def test_quality_rules(docs):
         assert r["kept"] == (not r["base_failed"] and not r["failed"])
 
 
+def test_quality_rules_equal_their_sql(spark, docs, tmp_path):
+    """On the odd rows, and on texts that break one rule each."""
+    good = prose(60, 100)
+    broken = [good + " #####" * 9, good + " ha!!" * 40, good + " " + "x" * 2000, good + "\none line" * 30, " ".join(str(1000 + i) for i in range(80))]
+    made = [(100, good)] + [(101 + i, t) for i, t in enumerate(broken)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(queries.ORACLES["op4_quality_rules"])
+    names = [c[0] for c in sql.description]
+    want = Counter(sql.fetchall())
+    found = queries.op4_quality_rules(spark, str(tmp_path))
+    assert found.columns == names and Counter(map(tuple, found.collect())) == want
+    kept = {r[0] for r in want if r[-1]}
+    assert 100 in kept and not kept & {101, 102, 103, 104, 105} and not any(r[-2] for r in want if r[0] is not None and r[0] >= 100)
+
+
 # Operator 5 -----------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title></head><body><div id="cookie-notice">We use cookies <a href=x>ok</a></div>
