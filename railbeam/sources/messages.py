@@ -126,18 +126,12 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
 
 def message_rejects(parsed: DataFrame) -> DataFrame:
-    """K13 for messages."""
+    """K13 for messages that were parsed, or landed."""
     return parsed.filter(F.col("reject_reason").isNotNull()).select("seq", "reject_reason", "value")
 
 
-def explode_messages(parsed: DataFrame) -> DataFrame:
-    """One wide row per record of the accepted messages.
-
-    ``msg_type`` routes the row; columns that a type does not have are null.
-    """
-    rows = parsed.filter(F.col("reject_reason").isNull()).select(
-        "arrival_ms", "seq", F.posexplode("elements").alias("pos", "x")
-    )
+def _record_columns() -> list[Column]:
+    """The columns of a record ``x``; ``msg_type`` routes the row, columns that a type does not have are null."""
     kind = F.col("x.header.msg_type")
     body = "x.body."
 
@@ -145,10 +139,7 @@ def explode_messages(parsed: DataFrame) -> DataFrame:
         return F.when(kind.isin(types), value)
 
     located = [MSG_CANCELLATION, MSG_MOVEMENT, MSG_CHANGE_OF_ORIGIN]
-    return rows.select(
-        "arrival_ms",
-        "seq",
-        "pos",
+    return [
         kind.alias("msg_type"),
         only(KNOWN_TYPES, F.col(body + "train_id")).alias("train_id"),
         only(KNOWN_TYPES, F.col(body + "train_service_code")).alias("service_code"),
@@ -177,7 +168,34 @@ def explode_messages(parsed: DataFrame) -> DataFrame:
             "old_timestamp"
         ),
         only([MSG_CHANGE_OF_ORIGIN], F.col(body + "reason_code")).alias("reason_code"),
+    ]
+
+
+def explode_messages(parsed: DataFrame) -> DataFrame:
+    """One wide row per record of the accepted messages."""
+    rows = parsed.filter(F.col("reject_reason").isNull()).select(
+        "arrival_ms", "seq", F.posexplode("elements").alias("pos", "x")
     )
+    return rows.select("arrival_ms", "seq", "pos", *_record_columns())
+
+
+def landed_records(parsed: DataFrame) -> DataFrame:
+    """All that one parse of a message gives: a row per record of an accepted one, and a row with the reason and
+    the message for a refused one. An accepted message without records gives none."""
+    refused = F.col("reject_reason").isNotNull()
+    rows = parsed.select(
+        "arrival_ms", "seq", "reject_reason", F.when(refused, F.col("value")).alias("value"),
+        F.posexplode_outer(F.when(~refused, F.col("elements"))).alias("pos", "x"),
+    )
+    kept = rows.filter(F.col("pos").isNotNull() | F.col("reject_reason").isNotNull())
+    return kept.select("arrival_ms", "seq", "pos", *_record_columns(), "reject_reason", "value")
+
+
+def accepted_records(messages: DataFrame) -> DataFrame:
+    """The records of raw messages, or of what ``landed_records`` made of them."""
+    if "reject_reason" not in messages.columns:
+        return explode_messages(parse_messages(messages))
+    return messages.filter(F.col("reject_reason").isNull()).drop("reject_reason", "value")
 
 
 def records_of(exploded: DataFrame, msg_type: str) -> DataFrame:

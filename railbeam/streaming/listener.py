@@ -22,7 +22,8 @@ from railbeam.plans.load import watched_of
 from railbeam.sources.commits import latest
 from railbeam.sources.files import create_whole, names, read_text
 from railbeam.sources.messages import (
-    explode_messages,
+    accepted_records,
+    landed_records,
     message_rejects,
     parse_messages,
     route_counts_per_minute,
@@ -87,6 +88,35 @@ def kept_salts(spark: SparkSession, checkpoint: str, salts: int) -> int:
     return found["salts"]
 
 
+def run_parse_stream(
+    spark: SparkSession,
+    root: str,
+    messages: DataFrame,
+    checkpoint: str,
+    name: str = "movements",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Parse each raw message once and land what it holds, for the other queries to read.
+
+    Spark's file sink lists the files of a batch at once, so its readers see all of a batch or nothing, and a
+    batch that is run again adds nothing.
+    """
+    landed = landed_records(parse_messages(messages))
+    writer = landed.writeStream.outputMode("append").format("parquet").queryName(f"{name}_records")
+    writer = writer.option("path", f"{root}/message_records").option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def stream_records(spark: SparkSession, root: str) -> DataFrame:
+    """What ``run_parse_stream`` has landed, as a stream. A reader opens only the columns it uses.
+
+    The number of files of a micro-batch is not limited: the files of one landed batch have no order among
+    themselves, so an activation must not come in a later micro-batch than its train's movements.
+    """
+    nothing = spark.createDataFrame([], "arrival_ms bigint, seq string, value string")
+    return spark.readStream.schema(landed_records(parse_messages(nothing)).schema).parquet(f"{root}/message_records")
+
+
 def run_movement_stream(
     spark: SparkSession,
     root: str,
@@ -98,14 +128,14 @@ def run_movement_stream(
     salts: int = DEFAULT_SALTS,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the stream from raw messages to logs and notices.
+    """Start the stream from raw messages, or from ``stream_records``, to logs and notices.
 
     A batch is named by the query's own id, which stays the same for one checkpoint and differs between
     two, so a stream with a new checkpoint never replaces what another has written. The number of state groups
     stays what it was when the checkpoint began, whatever ``salts`` says later.
     """
     salts = kept_salts(spark, checkpoint, salts)
-    enriched = enrich_stream(explode_messages(parse_messages(messages)), ttl_ms, salts)
+    enriched = enrich_stream(accepted_records(messages), ttl_ms, salts)
 
     query_id: Future[str] = Future()
 
@@ -126,10 +156,8 @@ def run_message_counts(
     lateness: str = "10 minutes",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Records per type and minute, written when a minute can no longer change."""
-    arrived = explode_messages(parse_messages(messages)).withColumn(
-        "arrival", F.timestamp_millis("arrival_ms")
-    )
+    """Records per type and minute, written when a minute can no longer change; input as above."""
+    arrived = accepted_records(messages).withColumn("arrival", F.timestamp_millis("arrival_ms"))
     counts = route_counts_per_minute(arrived.withWatermark("arrival", lateness), F.col("arrival"))
     writer = counts.writeStream.outputMode("append").format("parquet").queryName(f"{name}_counts")
     writer = writer.option("path", f"{root}/message_counts").option("checkpointLocation", checkpoint)
@@ -144,8 +172,8 @@ def run_message_rejects(
     name: str = "movements",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Messages that were refused, with the reason."""
-    rejected = message_rejects(parse_messages(messages))
+    """Messages that were refused, with the reason; input as above."""
+    rejected = message_rejects(messages if "reject_reason" in messages.columns else parse_messages(messages))
     writer = rejected.writeStream.outputMode("append").format("parquet").queryName(f"{name}_rejects")
     writer = writer.option("path", f"{root}/message_rejects").option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start()

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from railbeam.plans.enrich import enrich, logs
 from railbeam.plans.load import load_timetable, store_subscribers
-from railbeam.sources.messages import explode_messages, parse_messages, read_messages, stream_messages
+from railbeam.sources.messages import accepted_records, explode_messages, landed_records, message_rejects, parse_messages, read_messages, stream_messages
 from railbeam.sources.snapshots import read_table
-from railbeam.streaming.listener import run_message_counts, run_message_rejects, run_movement_stream
+from railbeam.streaming.listener import run_message_counts, run_message_rejects, run_movement_stream, run_parse_stream, stream_records
 from tests import rows as R
 
 ONCE = {"availableNow": True}
@@ -125,3 +125,36 @@ def test_a_second_checkpoint_replaces_no_log(spark, tmp_path):
     _land(landing, "b.txt", [[R.activation()], [R.movement(stanox=R.CODE["MERSTHAM"])]], 1514664100)
     run_movement_stream(spark, root, source, str(tmp_path / "two"), ttl_ms=DAY, trigger=ONCE).awaitTermination()
     assert read_table(spark, root, "movement_log").count() == 2
+
+
+def test_messages_are_parsed_once_and_read_by_all_queries(spark, tmp_path):
+    root, landing = _setup(spark, tmp_path)
+    source, to = stream_messages(spark, str(landing), max_files=1), {"trigger": ONCE}
+    _land(landing, "a.txt", [[R.movement(stanox=R.CODE["REIGATE"], event="DEPARTURE")], [R.activation()], "not json", []], 1514664000)
+    _land(landing, "b.txt", [[R.movement(), R.cancellation()], [R.cancellation(kind="MAYBE"), R.movement()]], 1514664030)
+    run_parse_stream(spark, root, source, str(tmp_path / "parse"), **to).awaitTermination()
+    run_movement_stream(spark, root, stream_records(spark, root), str(tmp_path / "logs"), ttl_ms=DAY, **to).awaitTermination()
+    _land(landing, "c.txt", [[R.change_of_origin(), R.movement(stanox=R.CODE["MERSTHAM"])]], 1514664300)
+    for _ in range(2):  # the second time finds nothing new
+        run_parse_stream(spark, root, source, str(tmp_path / "parse"), **to).awaitTermination()
+        run_movement_stream(spark, root, stream_records(spark, root), str(tmp_path / "logs"), ttl_ms=DAY, **to).awaitTermination()
+        run_message_counts(spark, root, stream_records(spark, root), str(tmp_path / "counts"), lateness="0 seconds", **to).awaitTermination()
+        run_message_rejects(spark, root, stream_records(spark, root), str(tmp_path / "rejects"), **to).awaitTermination()
+
+    raw = read_messages(spark, str(landing))
+    want = logs(explode_messages(parse_messages(raw)), ttl_ms=DAY)
+    for table, rows in (("movement_log", want.movements), ("cancellation_log", want.cancellations), ("change_of_origin_log", want.changes_of_origin)):
+        assert _rows(read_table(spark, root, table)) == _rows(rows) != []
+    assert _rows(spark.read.parquet(f"{root}/message_rejects")) == _rows(message_rejects(parse_messages(raw)))
+    assert spark.read.parquet(f"{root}/message_records").count() == 4 + 2 + 2  # four records and two of c.txt, two refusals
+
+
+def test_landed_records_hold_what_parsing_gives(spark):
+    texts = ["[]", "{", None, [R.activation(), R.movement()], [R.cancellation(kind="MAYBE")]]
+    raw = R.message_frame(spark, [(1514664000000 + i, t) for i, t in enumerate(texts)])
+    parsed = parse_messages(raw)
+    landed = landed_records(parsed)
+    assert _rows(accepted_records(landed)) == _rows(accepted_records(raw)) == _rows(explode_messages(parsed))
+    assert accepted_records(raw).count() == 2
+    assert _rows(message_rejects(landed)) == _rows(message_rejects(parsed)) and message_rejects(landed).count() == 3
+    assert landed.count() == 5
