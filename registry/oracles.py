@@ -6,7 +6,7 @@ subqueries where the engine aggregates), so that it checks the shapes as well as
 
 from __future__ import annotations
 
-from railbeam.constants import ACTIVATION_TTL_MS, DAY_COLUMNS, OPERATOR_NAMES, PREFERRED_TIPLOCS
+from railbeam.constants import ACTIVATION_TTL_MS, DAY_COLUMNS
 
 
 def _with(*parts: str, body: str) -> str:
@@ -43,8 +43,24 @@ _PATTERN = (
     "THEN 'Saturdays' WHEN substr(days_run, 7, 1) = '1' THEN 'Sundays' END"
 )
 _DAYS_OF_STATUS = "CASE o_orderstatus WHEN 'F' THEN '1111100' WHEN 'O' THEN '0000010' ELSE '0000001' END"
-_PAIRS = ", ".join(f"'{s}|{t}'" for s, t in PREFERRED_TIPLOCS)
-_NAMES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in OPERATOR_NAMES.items())
+# Fixed values, stated here again so that the SQL checks those of the engine: operators, and preferred stops.
+_NAMES = """
+  ('AR', 'Alliance Rail'), ('NT', 'Arriva Trains Northern'), ('AW', 'Arriva Trains Wales'), ('CC', 'c2c'),
+  ('CS', 'Caledonian Sleeper'), ('CH', 'Chiltern Railway'), ('XC', 'CrossCountry'), ('EM', 'East Midlands Trains'),
+  ('ES', 'Eurostar'), ('HT', 'First Hull Trains'), ('GX', 'Gatwick Express'), ('ZZ', 'GB Railfreight'),
+  ('GN', 'Govia Thameslink Railway (Great Northern)'), ('TL', 'Govia Thameslink Railway (Thameslink)'),
+  ('GC', 'Grand Central'), ('LN', 'Great North Western Railway'), ('GW', 'Great Western Railway'),
+  ('LE', 'Greater Anglia'), ('HC', 'Heathrow Connect'), ('HX', 'Heathrow Express'), ('IL', 'Island Lines'),
+  ('LS', 'Locomotive Services'), ('LM', 'London Midland'), ('LO', 'London Overground'), ('LT', 'London Underground'),
+  ('ME', 'Merseyrail'), ('TW', 'Nexus (Tyne & Wear Metro)'), ('NY', 'North Yorkshire Moors Railway'),
+  ('SR', 'ScotRail'), ('SW', 'South Western Railway'), ('SJ', 'South Yorkshire Supertram'), ('SE', 'Southeastern'),
+  ('SN', 'Southern'), ('SP', 'Swanage Railway'), ('XR', 'TfL Rail'), ('TP', 'TransPennine Express'),
+  ('VT', 'Virgin Trains'), ('GR', 'Virgin Trains East Coast'), ('WR', 'West Coast Railway Co.')"""
+_PREFERRED = """
+  ('86935', 'POOLE'), ('88486', 'SWLY'), ('89428', 'ASHFKY'), ('86441', 'BOGNORR'), ('87981', 'BRGHMHS'),
+  ('40320', 'CHST'), ('87219', 'CLPHMJN'), ('89530', 'EBSFDOM'), ('87071', 'EFNGHMJ'), ('01100', 'IVRNESS'),
+  ('31510', 'MNCRVIC'), ('30120', 'PRST'), ('52215', 'STFORDI'), ('87201', 'VICTRIA'), ('86981', 'WEYMTH'),
+  ('87261', 'WIMBLDN'), ('72277', 'WLSDNJL'), ('86037', 'WOKICHS'), ('82341', 'YOVILJN')"""
 
 STANOX = f"""
 stanox AS (
@@ -551,7 +567,6 @@ LOADED = (
     ASSOCIATION.replace("association AS (", "all_association AS (", 1),
     "association AS (SELECT * FROM all_association WHERE o_orderstatus <> 'P')",
 )
-_PREFERRED = ", ".join(f"('{s}', '{t}')" for s, t in PREFERRED_TIPLOCS)
 
 ORACLES: dict[str, str] = {
     "decode_props": """
@@ -575,7 +590,7 @@ ORACLES: dict[str, str] = {
         *ALL_FEED,
         body=f"""
         SELECT seq, op, tiploc_code, stanox_code, crs, description,
-          CASE WHEN stanox_code IS NOT NULL THEN stanox_code || '|' || tiploc_code IN ({_PAIRS}) END AS primary_entry
+          CASE WHEN stanox_code IS NOT NULL THEN (stanox_code, tiploc_code) IN (VALUES {_PREFERRED}) END AS primary_entry
         FROM f_tiploc WHERE op <> 'Replace' AND tiploc_code IS NOT NULL""",
     ),
     "decode_schedules": _with(
@@ -716,6 +731,12 @@ ORACLES: dict[str, str] = {
     "join_stitch": _stitched("JJ"),
     "divide_stitch": _stitched("VV"),
     "decode_messages": _with(RECORDS, MESSAGES, body="SELECT * FROM routed"),
+    "landed_messages": _with(
+        RECORDS, MESSAGES,
+        body="""
+        SELECT seq, pos, msg_type, train_id, NULL AS reject_reason FROM routed
+        UNION ALL SELECT message, NULL, NULL, NULL, 'bad_element' FROM bad""",
+    ),
     "message_rejects": _with(
         RECORDS, MESSAGES, body="SELECT message AS seq, 'bad_element' AS reject_reason FROM bad"
     ),
@@ -834,8 +855,8 @@ ORACLES: dict[str, str] = {
     "preferred_tiplocs": f"""
         WITH pairs(stanox, tiploc) AS (VALUES {_PREFERRED}), numbered AS (SELECT *, row_number() OVER () - 1 AS n FROM pairs)
         SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 5 THEN (a.stanox, b.tiploc) IN (SELECT (stanox, tiploc) FROM pairs) END AS primary_entry
-        FROM supplier JOIN numbered a ON a.n = s_suppkey % {len(PREFERRED_TIPLOCS)}
-          JOIN numbered b ON b.n = (CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 1 ELSE s_suppkey END) % {len(PREFERRED_TIPLOCS)}""",
+        FROM supplier JOIN numbered a ON a.n = s_suppkey % 19
+          JOIN numbered b ON b.n = (CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 1 ELSE s_suppkey END) % 19""",
     "load_schedule": _with(
         *LOADED,
         body="""

@@ -443,6 +443,12 @@ def message_rejected(spark: SparkSession, d: str) -> DataFrame:
     return messages.message_rejects(parsed).select("seq", "reject_reason")
 
 
+def landed_messages(spark: SparkSession, d: str) -> DataFrame:
+    """What one parse lands for the stream's queries: every accepted record and every refused message."""
+    landed = messages.landed_records(messages.parse_messages(shapes.messages(spark, d)))
+    return landed.select("seq", big("pos"), "msg_type", "train_id", "reject_reason")
+
+
 def route_counts(spark: SparkSession, d: str) -> DataFrame:
     return messages.route_counts(_exploded(spark, d))
 
@@ -886,6 +892,7 @@ QUERIES: dict[str, Query] = {
     "join_stitch": join_stitch,
     "divide_stitch": divide_stitch,
     "decode_messages": decode_messages,
+    "landed_messages": landed_messages,
     "message_rejects": message_rejected,
     "route_counts": route_counts,
     "unhandled_records": unhandled_records,
