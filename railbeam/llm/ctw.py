@@ -20,6 +20,7 @@ No table of the corpus is broadcast or held by one task: what a chunk gets is wh
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,15 @@ _COUNTED = ["chunk", "string", "word", "n"]
 LN2 = np.log(2.0)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker lives on from stage to stage, and what its allocators keep counts
+    against the executor beside the next stage's tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 # --- the tree -----------------------------------------------------------------------------------------------
 
 
@@ -223,6 +233,7 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.append(pa.table({"word": spelt, "n": n if learn else pa.array(np.zeros(len(spelt), np.int64))}))
         if len(words) > 16:
             words[:] = [merged()]
+            pa.default_memory_pool().release_unused()
 
     def merged() -> pa.Table:
         whole = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
@@ -231,6 +242,7 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def chunk_of(chunk: int) -> Iterator[pa.RecordBatch]:
         nonlocal keys, counts
         absorb(last=True)
+        give_back()
         for at in range(0, len(keys), OUT_ROWS):
             own = keys[at : at + OUT_ROWS]
             columns = [np.full(len(own), chunk, np.int32), own.view(np.int64), pa.nulls(len(own), pa.string()), counts[at : at + OUT_ROWS]]
@@ -241,6 +253,7 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [pa.array(np.full(rows, chunk, np.int32)), pa.nulls(rows, pa.int64()), batch.column("word"), batch.column("n")]
             yield pa.RecordBatch.from_arrays(columns, _COUNTED)
         words.clear()
+        give_back()
 
     now = None
     for batch in batches:
@@ -268,14 +281,19 @@ def chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scores(texts: pa.Table, values: pa.Table, train_tokens: int, train_words: int) -> tuple[np.ndarray, ...]:
     """(n_tokens, n_known, base_score, score, n_bytes) of a chunk's texts, given the numbers of its strings and words."""
-    pa.default_memory_pool().release_unused()
+    give_back()
     is_word = values.column("word").is_valid()
-    words = values.filter(is_word)
+    words = values.select(["word", "value"]).filter(is_word)
     spelt, seen = words.column("word").combine_chunks(), words.column("value").to_numpy()
-    rest = values.filter(pc.invert(is_word))
-    strings = rest.column("string").to_numpy().view(np.uint64)
+    # The strings are most of a chunk: each copy of them goes as soon as the next one is there.
+    rest = values.select(["string", "value"]).filter(pc.invert(is_word))
+    strings, logs = rest.column("string").to_numpy().view(np.uint64), rest.column("value").to_numpy()
+    del rest
     order = np.argsort(strings)
-    strings, logs = strings[order], rest.column("value").to_numpy()[order]
+    strings = strings[order]
+    logs = logs[order]
+    del order
+    give_back()
     whole = np.log10(train_tokens + train_words + 1)
     end = seen[pc.index_in(pa.scalar(END.decode()), spelt).as_py()]
     parts: list[tuple[np.ndarray, ...]] = []
@@ -291,6 +309,8 @@ def scores(texts: pa.Table, values: pa.Table, train_tokens: int, train_words: in
             found, sizes = byte_strings(data[first:stop])
             own.append(np.add.reduceat(logs[np.searchsorted(strings, found)], np.cumsum(sizes) - sizes))
         parts.append((n + 1, known, base, np.concatenate(own), np.fromiter(map(len, data), np.int64, len(data))))
+    del strings, logs, spelt, seen, words
+    give_back()
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
@@ -316,6 +336,8 @@ def model(strings: DataFrame) -> DataFrame:
         cut = (level.keys >> np.uint64(8)) & np.uint64((1 << 8 * UPPER) - 1)
         keys, place = np.unique((cut << np.uint64(8)) | (level.keys & np.uint64(255)), return_inverse=True)
         sums = [np.bincount(place, x, len(keys)) for x in (level.zeros, level.ones, level.weighted)]
+        del held, level, cut, place
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["key", "zeros", "ones", "weighted"])
 
     nodes = dealt.mapInArrow(up, "key long, zeros double, ones double, weighted double")
@@ -325,7 +347,9 @@ def model(strings: DataFrame) -> DataFrame:
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _whole(batches)
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(log10_of(*held, top))], ["string", "value"])
+            values = pa.array(log10_of(*held, top))
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), values], ["string", "value"])
 
     return dealt.mapInArrow(down, "string long, value double")
 
