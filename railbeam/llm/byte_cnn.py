@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railbeam.llm.common import renamed
+from railbeam.llm.common import renamed, spread
 
 HALF, STRIDE, FILTERS, HIDDEN, CODE = 128, 4, 48, 16, 12
 POSITIONS = HALF // STRIDE
-#: The sample for training: texts per label at most, and chunks of each (around hashed places).
-PER_LABEL, SAMPLE_CHUNKS = 1500, 6
+#: The sample for training: texts per label at most, pieces of a long text and characters of a piece (``spread``).
+PER_LABEL, PIECES, PIECE_CHARS = 1500, 8, 500
+#: Chunks of a text that one epoch learns from; each epoch draws others.
+EPOCH_CHUNKS = 6
 #: Halves that are scored at a time.
 BLOCK = 2048
 
@@ -84,11 +86,9 @@ def score(net: Network, text: str | None) -> float:
     return float(1 / (1 + np.exp(-np.clip(features(net, text) @ net.combine, -30, 30))))
 
 
-def _chunks(text: str, rng: np.random.Generator) -> np.ndarray:
+def _chunks(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     starts = range(0, max(1, len(data) - HALF), HALF)
-    if len(starts) > SAMPLE_CHUNKS:
-        starts = sorted(rng.choice(np.array(starts), SAMPLE_CHUNKS, replace=False).tolist())
     found = np.zeros((len(starts), 2 * HALF + STRIDE), np.uint8)
     for row, start in zip(found, starts, strict=True):
         piece = data[start : start + 2 * HALF + STRIDE]
@@ -96,6 +96,13 @@ def _chunks(text: str, rng: np.random.Generator) -> np.ndarray:
     return found
 
 
+def _drawn(owner: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """At most ``EPOCH_CHUNKS`` chunks of each text, at random, in random order; ``owner`` is sorted."""
+    order = np.lexsort((rng.random(len(owner)), owner))
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return rng.permutation(order[rank < EPOCH_CHUNKS])
+
+
 def _piece(text: str, rng: np.random.Generator) -> str:
     """Some whole words of a text, 4 to 200 characters."""
     start = int(rng.integers(0, max(1, len(text) - 200)))
@@ -110,14 +117,15 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, rate: float = 3
     """
     rng = np.random.default_rng(seed)
     texts, labels = texts + [_piece(text, rng) for text in texts], labels + labels
-    parts = [_chunks(text, rng) for text in texts]
+    parts = [_chunks(text) for text in texts]
     x = np.concatenate(parts)
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     y = np.array(labels, np.float32)[owner]
-    share = np.array([1 / len(p) for p in parts], np.float32)[owner]
+    drawn = np.array([min(len(p), EPOCH_CHUNKS) for p in parts])
+    share = (1 / drawn).astype(np.float32)[owner]
+    marks = np.array(labels)
     for label in (0, 1):
-        share[y == label] /= max(share[y == label].sum(), 1e-6)
-    share *= len(x) / max(share.sum(), 1e-6)
+        share[y == label] *= drawn.sum() / 2 / max((marks == label).sum(), 1)
     width = STRIDE * CODE
     p = {
         "first": rng.normal(0, 0.15, (width, FILTERS)),
@@ -132,7 +140,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, rate: float = 3
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     t = 0
     for _ in range(epochs):
-        order = rng.permutation(len(x))
+        order = _drawn(owner, rng)
         for at in range(0, len(order), 256):
             rows = order[at : at + 256]
             n = len(rows)
@@ -175,17 +183,16 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, rate: float = 3
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = PER_LABEL) -> Network | None:
     """Train on at most ``per_label`` labelled texts of each label, chosen by a hash; None if there are none.
 
-    ``learn_from`` is a condition on the labels' id. Of each sampled text a window of 4,000 characters is read; of
-    rows that share an id, one. The chosen ids are at most twice ``per_label``, so they are broadcast and the texts
-    are not shuffled.
+    ``learn_from`` is a condition on the labels' id. Of a sampled text over ``PIECES`` times ``PIECE_CHARS``
+    characters that many pieces are learnt, one from each equal part; of rows that share an id, one. The
+    chosen ids are at most twice ``per_label``, so they are broadcast and the texts are not shuffled.
     """
     marks = renamed(labels, own=doc_id, label=label).where("label is not null and own is not null").where(learn_from)
     marks = marks.groupBy("own").agg(F.max("label").cast("int").alias("label"))
     zero, one = (marks.where(F.col("label") == k).orderBy(F.xxhash64("own"), "own").limit(per_label) for k in (0, 1))
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - 4000)) + 1
     rows = renamed(docs, doc_id=doc_id, text=text).where("text is not null")
     rows = rows.join(F.broadcast(zero.unionByName(one)), F.col("doc_id") == F.col("own"))
-    rows = rows.select("own", "label", F.col("text").substr(start.cast("int"), F.lit(4000)).alias("part"))
+    rows = rows.select("own", "label", spread(F.col("text"), PIECES, PIECE_CHARS).alias("part"))
     sample = rows.groupBy("own", "label").agg(F.max("part").alias("part")).collect()
     sample.sort(key=lambda row: (row["own"], row["part"]))
     return train([row["part"] for row in sample], [row["label"] for row in sample]) if sample else None

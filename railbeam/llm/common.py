@@ -75,6 +75,19 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumn("_once", F.explode(F.array(row))).select(*df.columns, *[F.col(f"_once.{name}").alias(name) for name in columns])
 
 
+def spread(text: Column, pieces: int, width: int) -> Column:
+    """A sample of a text that reaches all its places: the whole text up to ``pieces`` times ``width`` characters,
+    else one piece of ``width`` characters at a hashed place of each of ``pieces`` equal parts, blanks between."""
+    part = F.floor(F.length(text) / pieces).cast("int")
+
+    def piece(k: Column) -> Column:
+        start = k * part + F.pmod(F.xxhash64(text, k), part - width + 1).cast("int") + 1
+        return F.substring(text, start, F.lit(width))
+
+    pieces_of = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), piece), " ")
+    return F.when(F.length(text) > pieces * width, pieces_of).otherwise(text)
+
+
 def fold_of(doc_id: Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railbeam.llm.common import renamed
+from railbeam.llm.common import renamed, spread
 
 UNKNOWN = "und"
 ORDERS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 15, 16
-#: The sample for training: texts per language, and characters of each (a window at a hashed place).
-PER_LANGUAGE, SAMPLE_CHARS = 1500, 3000
+#: The sample for training: texts per language, pieces of a long text and characters of a piece (``spread``).
+PER_LANGUAGE, PIECES, PIECE_CHARS = 1500, 6, 500
 BLOCK = 1 << 19
 #: Shares of left-out texts: of rightly predicted ones that the threshold may reject, of garbled ones that it should.
 RIGHT_LOST, NOISE_REJECTED = 0.0005, 0.95
@@ -143,7 +143,10 @@ def predict(model: Model, text: str | None) -> tuple[str, float, bool]:
 
 
 def fit(docs: DataFrame, learn_from: Column, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> Model:
-    """Train on at most about ``per_language`` texts of each language, chosen by the hash of their ids."""
+    """Train on at most about ``per_language`` texts of each language, chosen by the hash of their ids.
+
+    Of a text over ``PIECES`` times ``PIECE_CHARS`` characters that many pieces are learnt, one from each equal part.
+    """
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
     known = renamed(docs.where(learn_from), doc_id=doc_id, text=text, lang=lang).where("lang is not null and text is not null")
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
@@ -151,8 +154,7 @@ def fit(docs: DataFrame, learn_from: Column, doc_id: str, text: str, lang: str,
     if not sizes:
         return Model([], np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_language / n) * 1_000_003)])
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1
-    part = F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS))
+    part = spread(F.col("text"), PIECES, PIECE_CHARS)
     sample = known.where(place < F.try_element_at(share, F.col("lang"))).select("lang", part.alias("part"), place.alias("place")).collect()
     sample = sorted((row for row in sample if has_letter(row["part"])), key=lambda row: (row["place"], row["part"]))
     return train([row["part"] for row in sample], [row["lang"] for row in sample]) if sample else fit(docs.limit(0), learn_from, doc_id, text, lang)

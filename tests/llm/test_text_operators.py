@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from railbeam.llm import byte_cnn, ctw, decontam, golay, langid, line_blocks, mixing, quality_rules, queries, rans, secret_scan, simhash
+from railbeam.llm import byte_cnn, common, ctw, decontam, golay, langid, line_blocks, mixing, quality_rules, queries, rans, secret_scan, simhash
 from railbeam.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -365,6 +365,57 @@ def test_byte_network_learns_and_covers_the_whole_text(spark):
     assert byte_cnn.score(net, None) == byte_cnn.score(net, "") and byte_cnn.fit(docs, labels.limit(0), F.lit(True)) is None
 
 
+def test_samples_reach_all_places_of_a_text(spark):
+    texts = ["", "ab cd", "x" * 80, "".join(chr(0x100 + i) for i in range(1000)), "".join(chr(0x100 + i) for i in range(83))]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "n int, text string")
+    got = {r["n"]: r["s"] for r in rows.select("n", common.spread(F.col("text"), 8, 10).alias("s")).collect()}
+    assert [got[i] for i in (0, 1, 2)] == texts[:3] and got[9] is None
+    for i in (3, 4):
+        part = len(texts[i]) // 8
+        pieces = got[i].split(" ")
+        assert len(pieces) == 8 and all(len(p) == 10 and p in texts[i][k * part : (k + 1) * part] for k, p in enumerate(pieces))
+
+
+def test_byte_network_equals_a_naive_forward_pass(monkeypatch):
+    rng = np.random.default_rng(3)
+    shapes = {"first": (48, 48), "second": (48, 48), "filter_bias": 48, "hidden": (48, 16), "hidden_bias": 16, "out": 16, "out_bias": 1, "combine": 5}
+    net = byte_cnn.Network(**{k: rng.normal(0, 0.2, s).astype(np.float32) for k, s in shapes.items()})
+    monkeypatch.setattr(byte_cnn, "BLOCK", 3)
+
+    def naive(text):
+        data = (text or "").encode()
+        n = max(1, -(-len(data) // 128))
+        halves = []
+        for h in range(n):
+            best = np.full(48, -np.inf)
+            for at in range(128 * h, 128 * (h + 1), 4):
+                window = [byte_cnn.CODES[data[k] if k < len(data) else 0] for k in range(at, at + 8)]
+                best = np.maximum(best, np.concatenate(window[:4]) @ net.first + np.concatenate(window[4:]) @ net.second)
+            halves.append(best + net.filter_bias)
+        chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves
+        logits = [float(np.clip(np.maximum(np.maximum(c, 0) @ net.hidden + net.hidden_bias, 0) @ net.out + net.out_bias[0], -12, 12)) for c in chunks]
+        values = [np.mean(logits), max(logits), min(logits), np.log1p(len(data)) / 10, 1.0]
+        return 1 / (1 + np.exp(-float(np.dot(values, net.combine))))
+
+    for text in (None, "", "a", prose(1, 19), "ü" * 64, "é" * 65 + " ", prose(2, 200), "#" * 1153):
+        assert byte_cnn.score(net, text) == pytest.approx(naive(text), abs=1e-4)
+
+
+def test_language_scores_equal_a_naive_average(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = len(langid.ORDERS) * langid.BUCKETS
+    model = langid.Model(["a", "b", "c"], rng.normal(0, 3, (rows, 3)).astype(np.float32), np.array([0.1, -0.2, 0.0], np.float32), 0.7, 0.0)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    for text in ("x", "Über", "one two three four", prose(3, 50)):
+        data = b" " + text.lower().encode() + b" "
+        grams = [(k, int.from_bytes(data[i : i + n], "big")) for k, n in enumerate(langid.ORDERS) for i in range(len(data) - n + 1)]
+        vectors = [model.table[((g * 2654435761) % 2**32 >> 17) + k * langid.BUCKETS].astype(float) for k, g in grams]
+        logits = (np.mean(vectors, axis=0) + model.bias) / 0.7
+        p = np.exp(logits - logits.max())
+        name, best, rejected = langid.predict(model, text)
+        assert name == "abc"[int(p.argmax())] and best == pytest.approx(float((p / p.sum()).max()), abs=1e-5) and not rejected
+
+
 def test_language(spark):
     a, b = SYLLABLES[:6], ["ß", "ün", "kei", "sch", "ge", "zu"]
     def text(i):
