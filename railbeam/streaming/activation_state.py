@@ -1,7 +1,6 @@
 """Keyed state: the latest activation of each train.
 
-The only Python code in a data path. Each call gets the rows of one (train, salt) in one micro-batch
-and works on whole columns.
+Each call gets the rows of one (train, salt) in one micro-batch and works on plain arrays, one for a column.
 """
 
 from __future__ import annotations
@@ -46,33 +45,33 @@ def activation_state(ttl_ms: int, columns: list[str]) -> StatefulProcessor:
             self.held = handle.getValueState("activation", STATE, ttl_ms)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows), ignore_index=True).sort_values(ORDER, ignore_index=True)
-            is_put = (batch["msg_type"] == MSG_ACTIVATION).to_numpy()
+            frames = [frame for frame in rows if len(frame)]
+            if not frames:
+                return
+            # Plain columns in the order of arrival; groups are small and many, so a frame is made once, at the end.
+            given = {c: np.concatenate([frame[c].to_numpy() for frame in frames]) for c in frames[0].columns}
+            order = np.lexsort([given[c] for c in reversed(ORDER)])
+            batch = {c: values[order] for c, values in given.items()}
+            arrival, is_put = batch["arrival_ms"], batch["msg_type"] == MSG_ACTIVATION
             # Row number of the last activation at or before each row; -1 is the held one.
-            last = np.maximum.accumulate(np.where(is_put, np.arange(len(batch)), -1))
+            last = np.maximum.accumulate(np.where(is_put, np.arange(len(order)), -1))
             held = self.held.get() if self.held.exists() else None
-            before = pd.DataFrame([held if held is not None else (None,) * 4], columns=STATE.fieldNames())
-            puts = pd.DataFrame(
-                {"activated_ms": batch["arrival_ms"], **{f: batch[f] for f in ACTIVATION_FIELDS}}
-            )
-            known = pd.concat([before.astype(object), puts.astype(object)], ignore_index=True)
-            seen = known.iloc[last + 1].reset_index(drop=True)
-            age = batch["arrival_ms"] - pd.to_numeric(seen["activated_ms"], errors="coerce")
-            found = ~is_put & (age <= ttl_ms).to_numpy()
-            if is_put.any():
-                newest = puts.iloc[last[-1]]
-                self.held.update(
-                    (
-                        int(newest["activated_ms"]),
-                        newest["schedule_train_id"],
-                        newest["origin_stanox_code"],
-                        int(newest["origin_departure_timestamp"]),
-                    )
-                )
-            out = batch.assign(**{f: seen[f] for f in ACTIVATION_FIELDS}).loc[found, columns]
+            before = held if held is not None else (0, None, None, None)
+            activated = np.concatenate(([before[0]], arrival))[last + 1]
+            found = ~is_put & ((last >= 0) | (held is not None)) & (arrival - activated <= ttl_ms)
+            if last[-1] >= 0:
+                newest = {f: batch[f][last[-1]] for f in ACTIVATION_FIELDS}
+                departure = int(newest["origin_departure_timestamp"])
+                self.held.update((int(arrival[last[-1]]), newest["schedule_train_id"], newest["origin_stanox_code"], departure))
+            if not found.any():
+                return
+            out = {c: values[found] for c, values in batch.items() if c in columns}
+            for field, kept in zip(STATE.fieldNames()[1:], before[1:], strict=True):
+                own = np.concatenate((np.array([kept], object), batch[field].astype(object)))
+                out[field] = own[last[found] + 1]
             # Text, so that a column of nulls and numbers keeps whole numbers.
-            out["origin_departure_timestamp"] = out["origin_departure_timestamp"].map(lambda v: str(int(v)))
-            yield out
+            out["origin_departure_timestamp"] = np.array([str(int(v)) for v in out["origin_departure_timestamp"]], object)
+            yield pd.DataFrame(out, columns=columns)
 
         def close(self) -> None:
             pass
