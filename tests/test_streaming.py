@@ -5,12 +5,16 @@ from __future__ import annotations
 import json
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from railbeam.constants import MSG_ACTIVATION, MSG_MOVEMENT
 from railbeam.plans.enrich import enrich, logs
 from railbeam.plans.load import load_timetable, store_subscribers
 from railbeam.sources.messages import accepted_records, explode_messages, landed_records, message_rejects, parse_messages, read_messages, stream_messages
 from railbeam.sources.snapshots import read_table
+from railbeam.streaming.activation_state import activation_state
 from railbeam.streaming.listener import run_message_counts, run_message_rejects, run_movement_stream, run_parse_stream, stream_records
 from tests import rows as R
 
@@ -158,3 +162,45 @@ def test_landed_records_hold_what_parsing_gives(spark):
     assert accepted_records(raw).count() == 2
     assert _rows(message_rejects(landed)) == _rows(message_rejects(parsed)) and message_rejects(landed).count() == 3
     assert landed.count() == 5
+
+
+class _Held:
+    """A state value without a store."""
+
+    value = None
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_keyed_state_equals_a_loop_over_records():
+    columns = ["arrival_ms", "seq", "pos", "msg_type", "schedule_train_id", "origin_stanox_code", "origin_departure_timestamp"]
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        held, latest = _Held(), None
+        state = activation_state(25, columns)
+        state.init(held)
+        for batch in range(3):
+            rows = []
+            for k in range(int(rng.integers(1, 9))):
+                put = rng.random() < 0.3
+                own = (f"a{batch}{k}", "o", str(10**12 + k)) if put else (None, None, None)
+                rows.append((int(rng.integers(0, 60)) + 30 * batch, f"s{rng.integers(0, 3)}", k, MSG_ACTIVATION if put else MSG_MOVEMENT, *own))
+            want = []
+            for row in sorted(rows, key=lambda r: r[:3]):
+                if row[3] == MSG_ACTIVATION:
+                    latest = (row[0], *row[4:6], int(row[6]))
+                elif latest is not None and row[0] - latest[0] <= 25:
+                    want.append((*row[:4], *latest[1:3], str(latest[3])))
+            frames = [pd.DataFrame(part, columns=columns) for part in (rows[::2], rows[1::2])]
+            got = [tuple(r) for out in state.handleInputRows(("t", 0), iter(frames), None) for r in out.itertuples(index=False)]
+            assert got == want and held.value == latest
