@@ -8,7 +8,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from railbeam.operators.intervals import covering_bins, row_bins
+from railbeam.operators.intervals import asked_rows, covering_bins, meet, row_bins
 from railbeam.operators.notices import watched_stops
 from railbeam.plans import load as jobs
 from railbeam.plans.enrich import enrich, logs
@@ -322,3 +322,18 @@ def test_bins_hold_just_the_days_of_a_range(spark):
     want = sorted((k, m) for k, (a, b) in enumerate(ranges) for m in moments if min(a // day, last) <= min(m // day, last) <= min(b // day, last))
     assert met == want  # each pair once
     assert asked.groupBy("k").count().agg(F.max("count")).first()[0] <= 6 * 32
+
+
+def test_a_range_is_few_bins_and_needs_are_not_broadcast(spark):
+    day = 86_400_000
+    ranges = [(k % 3, a * day, (a + k) * day) for k in range(1, 60) for a in (7, 19_733)] + [(1, 0, 2**63 - 1), (2, 9 * day, 8 * day)]
+    needs = spark.createDataFrame(ranges, "k int, from_ts bigint, to_ts bigint")
+    each = needs.select(F.size(F.coalesce(covering_bins(F.col("from_ts"), F.col("to_ts")), F.array())).alias("n"))
+    assert each.agg(F.max("n")).first()[0] <= 10
+    moments = [(k, m * day + 5) for k in (0, 1, 9) for m in (0, 7, 8, 30, 66, 19_740, 40_000)]
+    log = spark.createDataFrame(moments, "k int, origin_departure_timestamp bigint")
+    met = meet(asked_rows(log, needs, ["k"]), needs, ["k"])
+    want = sorted((k, m, a, b) for k, m in moments for j, a, b in ranges if j == k and a <= m <= b)
+    assert sorted((r.k, r.origin_departure_timestamp, r.from_ts, r.to_ts) for r in met.collect()) == want
+    top = met._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in top
