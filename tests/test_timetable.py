@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from railbeam.operators.associations import secondary_schedule
 from railbeam.operators.fold import fold_stanox
 from railbeam.operators.notices import is_notifiable, movement_notices
 from railbeam.operators.stations import main_records, main_records_for_notices
-from railbeam.operators.stops import flatten_schedules
+from railbeam.operators.stops import HEADER, flatten_schedules, schedule_rows
 from railbeam.plans.enrich import logs
 from railbeam.plans.history import history, history_display
 from railbeam.plans.load import FeedError, build_secondary, load_timetable, store_subscribers
@@ -387,3 +388,19 @@ def test_unknown_kinds_of_records_share_one_directory(spark, tmp_path):
     load_timetable(spark, root, [R.write_feed(tmp_path / "a.json", lines)])
     rejects = spark.read.parquet(f"{root}/rejects").where("reject_reason = 'unknown_record_kind'").collect()
     assert {r.value for r in rejects} == {'{"Odd%d":{}}' % k for k in range(30)} and {r.kind for r in rejects} == {"Unknown"}
+
+
+def test_stops_sorted_by_record_are_not_sorted_again(spark):
+    records = spark.range(600).select(F.explode(F.array(F.lit(2), F.lit(0), F.lit(1))).alias("pos"), (F.col("id") % 300).alias("seq"))
+    one = Window.partitionBy("seq")
+    header = F.struct(*[F.lit(None).cast("date" if "schedule_" in c and "id" not in c else "string").alias(c) for c in HEADER])
+    rows = records.distinct().withColumn("n", F.count("*").over(one)).select(
+        "seq", header.alias("header"), "pos", F.concat(F.lit("T"), "pos").alias("tiploc_code"),
+        F.lit("LI").alias("location_type"), F.lit("10:00").alias("arrival_time"), F.col("n").cast("string").alias("departure_time"),
+    )
+    tiplocs = spark.createDataFrame([(f"T{k}", f"0{k}") for k in range(3)], "tiploc_code string, stanox_code string")
+    flat = schedule_rows(rows, F.broadcast(tiplocs))
+    got = {(r.seq, r.stop_sequence, r.stanox_code, tuple(r.subsequent_stanox_codes)) for r in flat.collect()}
+    assert got == {(k, n + 1, f"0{n}", tuple(f"0{m}" for m in range(n + 1, 3))) for k in range(300) for n in range(3)}
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan.split("Initial Plan")[-1].count("Sort [seq") == 1
