@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from dataclasses import fields
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from railbeam.plans.subscriptions import subscribe, subscriptions, unsubscribe
 from railbeam.schemas import COLUMNS, TABLES
 from railbeam.sources import feed, messages
 from railbeam.sources.commits import VersionConflict, claim, latest
-from railbeam.sources.snapshots import empty_table, load_tables, read_table, write_log_batch, write_snapshots
+from railbeam.sources.snapshots import RailTables, empty_table, load_tables, read_table, write_log_batch, write_snapshots
 from tests import rows as R
 
 CODE = R.CODE
@@ -240,6 +243,54 @@ def test_schedule_search(spark, loaded):
     assert sorted((str(r.user_id), r.id) for r in many) == [("None", joined.id), ("u", joined.id)]
 
 
+def _filled(spark, table, rows):
+    """Rows of a table from dicts; columns that are not named are null."""
+    columns = COLUMNS[table]
+    return spark.createDataFrame([[row.get(c) for c in columns] for row in rows], empty_table(spark, table).schema)
+
+
+def test_search_totals_equal_the_listed_rows(spark):
+    day, end = datetime.date(2024, 1, 1), datetime.date(2024, 3, 1)
+
+    def train(k, **other):
+        row = {
+            "id": f"{k:03d}", "schedule_train_id": f"T{k}", "service_code": "S", "stp_indicator": "P", "atoc_code": "SN",
+            "stanox_code": "A", "subsequent_stanox_codes": ["B", "C"], "subsequent_arrival_times": ["10:00", f"11:{k:02d}"],
+            "days_run_pattern": "Weekdays", "schedule_start": day, "schedule_end": end, "departure_time": "09:00",
+        }
+        return {**row, **other}
+
+    primary = [train(k) for k in range(12)] + [train(3, id="777", service_code=None), train(12, id=None), train(13, id="000")]
+    secondary = [train(k, id=f"5{k}", subsequent_arrival_times=["10:30", "12:30"]) for k in (0, 1, 20)]
+
+    def hold(user, trains, to="C"):
+        return [
+            {"user_id": user, "schedule_train_id": f"T{k}", "service_code": "S", "from_stanox_code": "A",
+             "to_stanox_code": to, "days_run_pattern": "Weekdays"} for k in trains
+        ]
+
+    held = [
+        *hold("none", []), *hold("first", [0, 13]), *hold("run", [13, 0, 1, 2, 5]), *hold("late", [4, 4, 9]),
+        *hold("most", [*range(12), 13, 20]), *hold("both", [0, 1]), *hold("both", [13], "B"), *hold("unasked", [0], "B"), *hold(None, [0]),
+        *hold("all", [*range(21)]), {**hold("blank", [3])[0], "service_code": None},
+    ]
+    tables = RailTables(**{
+        **{f.name: empty_table(spark, f.name) for f in fields(RailTables)}, "schedule": _filled(spark, "schedule", primary),
+        "schedule_secondary": _filled(spark, "schedule_secondary", secondary), "subscribers": _filled(spark, "subscribers", held),
+    })
+    users = ["none", "first", "run", "late", "most", "both", "unasked", "all", "blank", None, "none"]
+    asked = [("A", "C", "Weekdays", u) for u in users] + [("A", "B", "Weekdays", "both"), ("A", "Z", "Weekdays", "lost"), (None, "C", "Weekdays", "first")]
+    requests = spark.createDataFrame(asked, "from_stanox_code string, to_stanox_code string, days_run_pattern string, user_id string")
+    listed = schedule_search_requests(tables, requests).groupBy("user_id", "subscribed", "subscribed_flag").agg(
+        F.count("*").alias("trains"), F.min("id").alias("first_id")
+    )
+    totals = schedule_search_requests(tables, requests, totals=True)
+    shown = ["user_id", "subscribed", "subscribed_flag", "trains", "first_id"]
+    assert totals.columns == shown
+    want, got = (sorted(map(str, t.select(*shown).collect())) for t in (listed, totals))
+    assert got == want and len(want) > 12
+
+
 def _batch(spark, records, start=1514664000000):
     raw = [(start + i, [r]) for i, r in enumerate(records)]
     return messages.explode_messages(messages.parse_messages(R.message_frame(spark, raw)))
