@@ -455,3 +455,20 @@ def test_stops_sorted_by_record_are_not_sorted_again(spark):
     assert got == {(k, n + 1, f"0{n}", tuple(f"0{m}" for m in range(n + 1, 3))) for k in range(300) for n in range(3)}
     plan = flat._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and plan.split("Initial Plan")[-1].count("Sort [seq") == 1
+
+
+def test_heads_are_made_once_per_record(spark):
+    stops = spark.createDataFrame(
+        [(1, 2, "T2"), (1, 0, "T0"), (1, 1, "T9"), (2, 0, "T0")], "seq bigint, pos int, tiploc_code string"
+    ).select("*", F.struct("seq").alias("header"), F.lit("LI").alias("location_type"), F.lit("10:00").alias("arrival_time"), F.lit(None).cast("string").alias("departure_time"))
+    tiplocs = spark.createDataFrame([("T0", "00"), ("T2", "02")], "tiploc_code string, stanox_code string")
+
+    def head(order):
+        dates = [F.lit("2024-01-01").cast("date").alias(c) for c in ("schedule_start", "schedule_end")]
+        named = {"schedule_train_id": order["seq"].cast("string"), "days_run": F.lit("1111100")}
+        texts = [named.get(c, F.lit(c)).alias(c) for c in HEADER if c not in ("schedule_start", "schedule_end")]
+        return F.struct(*texts, *dates)
+
+    flat = schedule_rows(stops, tiplocs, head)
+    got = [(r.schedule_train_id, r.stop_sequence, r.stanox_code, r.subsequent_stanox_codes, r.days_run_pattern) for r in flat.collect()]
+    assert sorted(got) == [("1", 1, "00", ["02"], "Weekdays"), ("1", 2, "02", [], "Weekdays"), ("2", 1, "00", [], "Weekdays")]
