@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from dataclasses import fields
+from dataclasses import fields, replace
 
 import pytest
 from pyspark.sql import Window
@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from railbeam.operators.associations import secondary_schedule
 from railbeam.operators.fold import fold_stanox
+from railbeam.operators.intervals import covering_bins
 from railbeam.operators.notices import is_notifiable, movement_notices
 from railbeam.operators.stations import main_records, main_records_for_notices
 from railbeam.operators.stops import HEADER, flatten_schedules, schedule_rows
 from railbeam.plans.enrich import logs
-from railbeam.plans.history import history, history_display
+from railbeam.plans.history import history, history_display, history_requests
 from railbeam.plans.load import FeedError, build_secondary, load_timetable, store_subscribers
 from railbeam.plans.search import schedule_search, schedule_search_requests
 from railbeam.plans.stations import stations
@@ -343,6 +344,28 @@ def test_history(spark, loaded, tmp_path):
     assert none.header.count() == 0 and none.movements.count() == 0 and none.cancellations.count() == 0
 
 
+def test_history_bounds_are_those_of_answered_requests(spark, loaded):
+    asked = spark.createDataFrame(
+        [("87334", FIRST, LAST, 0, 86_400_000), ("none", FIRST, LAST, None, None), (None, FIRST, LAST, None, None)],
+        "schedule_train_id string, from_stanox_code string, to_stanox_code string, from_ts bigint, to_ts bigint",
+    )
+    tables = replace(load_tables(spark, loaded), movement_log=_filled(spark, "movement_log", [{"id": "1"}]))
+    found = history_requests(tables, asked)
+    plan = spark._jvm.PythonSQLUtils.explainString(found.movements._jdf.queryExecution(), "formatted")
+    assert "Window" in plan.split("===== Subqueries =====")[1]
+    assert [r.schedule_train_id for r in found.header.collect()] == ["87334"]
+
+
+def test_a_whole_group_of_days_is_one_bin(spark):
+    day = 86_400_000
+    ranges = spark.createDataFrame(
+        [(0, 2**63 - 1), (5 * day, 5 * day), (8 * day, 16 * day - 1), (8 * day, 15 * day - 1), (2 * day, day)], "a bigint, b bigint"
+    )
+    bins = ranges.select("a", "b", covering_bins(F.col("a"), F.col("b")).alias("bins")).collect()
+    got = [r.bins and sorted((x.level, x.bin) for x in r.bins) for r in bins]
+    assert got == [[(15, 0)], [(0, 5)], [(3, 1)], [(0, 14), (1, 6), (2, 2)], None]
+
+
 def _subscriber(spark, from_, to, train="87334", service="799984"):
     values = {
         "id": "1", "user_id": "u", "email": "u@example.org", "schedule_train_id": train,
