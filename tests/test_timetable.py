@@ -17,7 +17,7 @@ from railbeam.operators.stations import main_records, main_records_for_notices
 from railbeam.operators.stops import HEADER, flatten_schedules, schedule_rows
 from railbeam.plans.enrich import logs
 from railbeam.plans.history import history, history_display, history_requests
-from railbeam.plans.load import FeedError, build_secondary, load_timetable, store_subscribers
+from railbeam.plans.load import FeedError, build_secondary, fold_schedule, load_timetable, store_subscribers
 from railbeam.plans.search import schedule_search, schedule_search_requests
 from railbeam.plans.stations import stations
 from railbeam.plans.subscriptions import subscribe, subscriptions, unsubscribe
@@ -495,3 +495,35 @@ def test_heads_are_made_once_per_record(spark):
     flat = schedule_rows(stops, tiplocs, head)
     got = [(r.schedule_train_id, r.stop_sequence, r.stanox_code, r.subsequent_stanox_codes, r.days_run_pattern) for r in flat.collect()]
     assert sorted(got) == [("1", 1, "00", ["02"], "Weekdays"), ("1", 2, "02", [], "Weekdays"), ("2", 1, "00", [], "Weekdays")]
+
+
+def test_new_rows_of_a_fold_are_not_moved_with_their_later_stops(spark):
+    def fold(stored, lines):
+        changes = feed.schedule_changes(feed.parse_feed(R.feed_frame(spark, lines)))
+        return fold_schedule(stored, changes, stations)
+
+    places = feed.stanox_changes(feed.parse_feed(R.feed_frame(spark, R.station_lines())))
+    stations = fold_stanox(empty_table(spark, "stanox"), places)
+    short, nowhere = R.ROUTE[:2], [("LO", "NOWHERE", None, "1210")]
+    before = [R.schedule_line("T1"), R.schedule_line("T2", stops=short), R.schedule_line("T3", stops=short)]
+    rows = fold(empty_table(spark, "schedule"), before).withColumn("train_category", F.lit("STORED")).collect()
+    # A stored row whose key has a null part conflicts with nothing.
+    rows = [tuple(None if r.schedule_train_id == "T3" and c == "service_code" else r[c] for c in COLUMNS["schedule"]) for r in rows]
+    stored = spark.createDataFrame(rows, TABLES["schedule"])
+    lines = [
+        R.schedule_line("T1", op="Delete"), R.schedule_line("T1", category="A", stops=short), R.schedule_line("T1", category="B"),
+        R.schedule_line("T2", category="C"), R.schedule_line("T2", category="D", service="other", stops=short),
+        R.schedule_line("T3", category="E", stops=short), R.schedule_line("T4", category="F", stops=nowhere),
+        R.schedule_line("T5", category="G"), R.schedule_line("T5", op="Delete"),
+    ]
+    folded = fold(stored, lines)
+    got = sorted((r.schedule_train_id, r.train_category, r.stop_sequence, len(r.subsequent_stanox_codes)) for r in folded.collect())
+    assert got == [
+        ("T1", "A", 1, 1), ("T1", "A", 2, 0), ("T1", "B", 3, 2), ("T1", "B", 4, 1), ("T1", "B", 5, 0),
+        ("T2", "C", 3, 2), ("T2", "C", 4, 1), ("T2", "C", 5, 0), ("T2", "D", 1, 1), ("T2", "D", 2, 0),
+        ("T2", "STORED", 1, 1), ("T2", "STORED", 2, 0),
+        ("T3", "E", 1, 1), ("T3", "E", 2, 0), ("T3", "STORED", 1, 1), ("T3", "STORED", 2, 0),
+    ]
+    plan = folded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    partial = next(k for k, line in enumerate(plan) if "partial_min_by" in line)
+    assert "Exchange" not in plan[partial - 1] and "SortAggregate" in plan[partial - 1]
