@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -337,3 +339,21 @@ def test_a_range_is_few_bins_and_needs_are_not_broadcast(spark):
     assert sorted((r.k, r.origin_departure_timestamp, r.from_ts, r.to_ts) for r in met.collect()) == want
     top = met._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in top
+
+
+def test_a_load_leaves_neither_its_staged_feed_nor_shuffle_files(spark, tmp_path):
+    def shuffle_files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {n for folder in folders for _, _, found in os.walk(folder) for n in found if n.startswith("shuffle_")}
+
+    root, there = str(tmp_path / "root"), shuffle_files()
+    lines = [*R.station_lines(), *[R.schedule_line(t) for t in TRAINS], R.schedule_line("J", stops=R.JOINING), R.association_line("T0", "J")]
+    load_timetable(spark, root, [R.write_feed(tmp_path / "a.json", lines)], flush=True)
+    build_secondary(spark, root)
+    load_timetable(spark, root, [R.write_feed(tmp_path / "b.json", [R.schedule_line("T1", op="Delete")])])
+    assert names(spark, f"{root}/_staged") == []
+    until = time.time() + 20
+    while shuffle_files() - there and time.time() < until:
+        time.sleep(0.2)
+    assert shuffle_files() - there == set()
+    assert read_table(spark, root, "schedule").count() == 5 * 39 + 2
