@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import re
+from contextlib import contextmanager
 from dataclasses import fields, replace
 
 import pytest
@@ -16,7 +18,7 @@ from railbeam.operators.notices import is_notifiable, movement_notices
 from railbeam.operators.stations import main_records, main_records_for_notices
 from railbeam.operators.stops import HEADER, flatten_schedules, schedule_rows
 from railbeam.plans.enrich import logs
-from railbeam.plans.history import history, history_display, history_requests
+from railbeam.plans.history import all_schedules, history, history_display, history_requests, planned_routes
 from railbeam.plans.load import FeedError, build_secondary, fold_schedule, load_timetable, store_subscribers
 from railbeam.plans.search import schedule_search, schedule_search_requests
 from railbeam.plans.stations import stations
@@ -250,6 +252,27 @@ def _filled(spark, table, rows):
     return spark.createDataFrame([[row.get(c) for c in columns] for row in rows], empty_table(spark, table).schema)
 
 
+@contextmanager
+def _no_broadcasts(spark):
+    """As with large tables; tables of a few rows would be broadcast."""
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.maxPlanStringLength")
+    before = {s: spark.conf.get(s, None) for s in settings}
+    for setting, value in zip(settings, ("-1", "-1", "100000000")):
+        spark.conf.set(setting, value)
+    try:
+        yield
+    finally:
+        for setting, value in before.items():
+            spark.conf.unset(setting) if value is None else spark.conf.set(setting, value)
+
+
+def _moves(rows):
+    """The exchanges of a plan that has run, without those that are used again."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("\n+- == Initial Plan")]
+    return [line for line in final.splitlines() if re.search(r"(?<!, )Exchange hashpartitioning", line)]
+
+
 def test_search_totals_equal_the_listed_rows(spark):
     day, end = datetime.date(2024, 1, 1), datetime.date(2024, 3, 1)
 
@@ -527,3 +550,17 @@ def test_new_rows_of_a_fold_are_not_moved_with_their_later_stops(spark):
     plan = folded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
     partial = next(k for k, line in enumerate(plan) if "partial_min_by" in line)
     assert "Exchange" not in plan[partial - 1] and "SortAggregate" in plan[partial - 1]
+
+
+def test_schedule_rows_that_met_their_routes_are_reduced_in_place(spark, loaded):
+    tables = load_tables(spark, loaded)
+    routes = spark.createDataFrame(
+        [("87334", FIRST, LAST), ("87334", FIRST, CODE["REDHILL"]), ("87334", LAST, FIRST), ("87334", FIRST, FIRST), ("no", FIRST, LAST)],
+        "schedule_train_id string, from_stanox_code string, to_stanox_code string",
+    )
+    with _no_broadcasts(spark):
+        planned = planned_routes(all_schedules(tables), routes)
+        got = sorted((r.to_stanox_code, r.expected_departure_time, r.expected_arrival_time) for r in planned.collect())
+        moved = _moves(planned)
+    assert got == [(LAST, "12:10", "12:45"), (CODE["REDHILL"], "12:10", "12:14")]
+    assert moved and not any("end#" in line for line in moved)
