@@ -313,6 +313,11 @@ def test_search_totals_equal_the_listed_rows(spark):
     assert totals.columns == shown
     want, got = (sorted(map(str, t.select(*shown).collect())) for t in (listed, totals))
     assert got == want and len(want) > 12
+    with _no_broadcasts(spark):
+        totals = schedule_search_requests(tables, requests, totals=True).select(*shown)
+        assert sorted(map(str, totals.collect())) == want
+        moved = [line for line in _moves(totals) if re.search(r"\(stanox_code#\d+, days_run_pattern#\d+, \d+\)", line)]
+    assert len(moved) == 2  # the primary schedule once, and the secondary one
 
 
 def _batch(spark, records, start=1514664000000):
